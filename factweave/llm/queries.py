@@ -7,9 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from factweave.llm.quality import op2_quality_rules
+from factweave.llm.sharding import OP5_SQL, op5_extendible_sharding
+from factweave.llm.tokenbin import op6_token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op5_extendible_sharding": op5_extendible_sharding,
+    "op6_token_ids": op6_token_ids,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_extendible_sharding": OP5_SQL,
+}
