@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factweave.llm.langid import op4_language_id
+from factweave.llm.neardup import op10_minhash_hamming
 from factweave.llm.quality import op2_quality_rules
 from factweave.llm.sharding import OP5_SQL, op5_extendible_sharding
 from factweave.llm.tokenbin import op6_token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op4_language_id": op4_language_id,
     "op5_extendible_sharding": op5_extendible_sharding,
     "op6_token_ids": op6_token_ids,
+    "op10_minhash_hamming": op10_minhash_hamming,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_language_id": op4_language_id,
     "op5_extendible_sharding": OP5_SQL,
 }
