@@ -131,7 +131,7 @@ class Tree:
             if self.text[i] is not None:
                 out.append([f"run {min(size[i].bit_length(), 9)}", f"links {4 * links[i] // max(1, size[i])}"])
             else:
-                out.append([f"tag {self.tag[i]}", f"size {min(size[i].bit_length(), 12) // 2}", *(f"word {w}" for w in self.words[i])])
+                out.append([f"{'semantic' if KINDS.get(self.tag[i]) in ('article', 'frame') else 'tag'} {self.tag[i]}", f"size {min(size[i].bit_length(), 12) // 2}", *(f"word {w}" for w in self.words[i] or ("(none)",) * (self.tag[i] in ("div", "section")))])
         return out
 
 
@@ -193,7 +193,7 @@ OTHER_WORDS = {
     "share": "share social sharing follow like tweet buttons".split(),
 }
 #: How far each kind of feature counts: features of a node and of its runs overlap, so their log-odds are tempered. Chosen on labelled pages.
-WEIGHTS = {"tag": 0.1, "word": 3.0, "size": 0.25, "run": 0.5, "links": 0.25}
+WEIGHTS = {"semantic": 1.0, "tag": 0.25, "word": 2.0, "size": 0.1, "run": 0.75, "links": 3.0}
 MARK = "\ue000"
 
 
@@ -228,15 +228,15 @@ def labelled_pages(n: int = 600, seed: int = 11) -> Iterator[str]:
             "ad": lambda: r.choice((say(3, 14), f"<p>{say(4, 20)}</p>", f"<a href=#>{say(3, 8, 0.5)}</a>")),
             "notice": lambda: f"<p>{say(6, 30)}</p>" + r.choice(("", f"<a href=#>{say(1, 2, 0)}</a>")),
             "form": lambda: f"<label>{say(1, 4, 0)}</label><input name=q>" + r.choice(("", f"<p>{say(3, 12)}</p>")),
-            "comments": lambda: f"<h3>{say(1, 2, 0)}</h3>" + "".join(f'<{t}{attribute(words, 0.7)}><p>{say(3, 40)}</p></{t}>' for t in (r.choice(("div", "li", "article")) for _ in range(r.randint(1, 6)))),
+            "comments": lambda: f"<h3>{say(1, 2, 0)}</h3>" + "".join(f'<{t}{attribute(words, 0.7)}><p>{say(3, 40)}</p></{t}>' for t in (r.choice(("div", "li", "div", "li", "div", "article")) for _ in range(r.randint(1, 6)))),
             "share": lambda: f"<ul>{links(3)}</ul>" if r.random() < 0.5 else say(1, 4, 0),
         }[kind]()
         return f"<{open_}>{inner}</{open_.split()[0]}>"
 
-    def prose() -> str:
+    def prose(brief: bool) -> str:
         x = r.random()
-        text = MARK + say(*r.choice(((1, 4), (8, 30), (20, 60), (30, 120))), 0.9)
-        if r.random() < 0.3:
+        text = MARK + say(*r.choice(((1, 4), (2, 9)) if brief else ((1, 4), (8, 30), (20, 60), (30, 120))), 0.9)
+        if r.random() < (0.1 if brief else 0.3):
             text += f" <a href=/{word()}>{say(1, 3, 0)}</a> {say(3, 10)}"
         if x < 0.72:
             return f"<p>{text}</p>" if r.random() < 0.8 else f"<p><b>{text}<br>"
@@ -251,8 +251,8 @@ def labelled_pages(n: int = 600, seed: int = 11) -> Iterator[str]:
         return f"<div>{text}</div>" if x < 0.98 else f"<pre>{text}</pre>"
 
     for _ in range(n):
-        often = r.random()
-        body = [f"<h1>{MARK}{say(2, 10, 0.3)}</h1>"] * (r.random() < 0.85) + [prose() for _ in range(r.choice((1, 2, 4, 8, 15, 30)))]
+        often, brief = r.random(), r.random() < 0.25
+        body = [f"<h1>{MARK}{say(2, 10, 0.3)}</h1>"] * (r.random() < 0.85) + [prose(brief) for _ in range(r.choice((1, 1, 2, 3) if brief else (1, 2, 4, 8, 15, 30)))]
         for kind in ("ad", "share", "aside", "form", "notice", "nav", "comments"):
             if r.random() < 0.15:
                 body.insert(r.randint(1, len(body)), block(kind, often))
@@ -269,7 +269,7 @@ def labelled_pages(n: int = 600, seed: int = 11) -> Iterator[str]:
 
 
 def train(pages: Iterator[str]) -> Model:
-    """Smoothed shares of features and of parents' and children's states; an element is content if most of its text is."""
+    """Smoothed shares of features and of parents' and children's states; an element is content if any of its text is."""
     counts, total, edges = defaultdict(lambda: [1.0, 1.0]), [2.0, 2.0], {k: [[1.0, 1.0], [1.0, 1.0]] for k in KIND_NAMES}
     roots = [1.0, 1.0]
     for page in pages:
@@ -282,7 +282,7 @@ def train(pages: Iterator[str]) -> Model:
                 tree.text[i] = tree.text[i].replace(MARK, "")
                 size[i] = len(tree.text[i])
                 yes[i] = size[i] * hit
-            label[i] = int(2 * yes[i] > size[i])
+            label[i] = int(yes[i] > 0)
             if i:
                 yes[tree.parent[i]] += yes[i]
                 size[tree.parent[i]] += size[i]
