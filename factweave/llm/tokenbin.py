@@ -15,6 +15,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -105,32 +106,45 @@ class Segment:
 
 # --- encoding ----------------------------------------------------------------------------------------------------------------
 
-#: A word of Latin-1 letters, with a full stop or comma after it: the tokenizer splits these apart, so both parts are kept once.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: A word of Latin-1 letters, with signs after it: the tokenizer splits these apart, so both parts are kept once.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*)]*)")
 
 
 class Encoder:
     """Ids of words. The tokenizer drops white space, so a text's ids are those of its words in a row, and a word that comes again
-    need not be encoded again. At most `keep` words are remembered."""
+    need not be encoded again. At most `keep` parts of words are remembered."""
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.keep, self.parts = keep, {}
+        # lower-case letters are one piece to the tokenizer, so its model can take them without the steps before it; that is tried on
+        # all letters first, and on words of each two of them
+        letters = [c for c in map(chr, range(256)) if PLAIN.fullmatch(c) and c == c.lower()]
+        pieces = [self.tokenizer.pre_tokenizer.pre_tokenize_str(c) if self.tokenizer.pre_tokenizer else [] for c in letters]
+        self.table = str.maketrans({c: p[0][0] for c, p in zip(letters, pieces, strict=True) if len(p) == 1})
+        tried = [x + y + z for x in letters for y in letters for z in ("", "en")]
+        self.direct = all(len(p) == 1 for p in pieces) and self.by_model(tried) == self.raw(tried)
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def by_model(self, letters: list[str]) -> list[bytes]:
+        tokenize, kind = self.tokenizer.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
+        return [array(kind, [t.id for t in tokenize(x.translate(self.table))]).tobytes() for x in letters]
+
     def words(self, found: list[str]) -> list[bytes]:
-        parts = self.parts
+        parts, match = self.parts, PLAIN.fullmatch
         if len(parts) > self.keep:
             parts.clear()
-        split = [(m[1].lower(), m[2]) if (m := PLAIN.fullmatch(w)) else (w, "") for w in found]
-        new = list({x for pair in split for x in pair if x not in parts})
-        parts.update(zip(new, self.raw(new), strict=True))
+        split = [(m[1].lower(), m[2]) if (m := match(w)) else (w, None) for w in found]
+        letters = list({a for a, b in split if b is not None and a not in parts})
+        other = list({x for a, b in split for x in ((a,) if b is None else (b,) if b else ()) if x not in parts})
+        parts.update(zip(letters, (self.by_model if self.direct else self.raw)(letters), strict=True))
+        parts.update(zip(other, self.raw(other), strict=True))
         return [parts[a] + parts[b] if b else parts[a] for a, b in split]
 
     def texts(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +192,7 @@ def encode_segments(path: str | None, end_id: int, segment_ids: int):
             held, size, seg, start = [], 0, seg + 1, start + len(ids)
             return row
 
-        for b in slices(batches):
+        for b in slices(batches, limit=12 << 20):
             ids, counts = enc.texts(b.column("text"), end_id)
             key = b.column("doc_id")
             nulls, doc_ids = key.is_null().to_numpy(zero_copy_only=False), key.fill_null(0).to_numpy()
