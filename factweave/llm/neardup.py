@@ -321,3 +321,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 def op10_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=2)
+
+
+def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, without those whose group has a smaller doc_id; rows without a doc_id stay."""
+    labels = NearDuplicates(docs, size, percent).labels()
+    gone = materialise(labels.filter("label <> id").select(F.col("id").alias("doc_id")), "dropped")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
