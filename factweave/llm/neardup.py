@@ -7,8 +7,9 @@ each chunk with each one place left out finds all pairs within R. Every found li
 
 Groups of copies never become all their pairs. Equal sets first become one representative. A bucket of equal keys is a star around its
 smallest document, formed in two steps (in each map task, then over tasks), so a key that a third of all documents share reaches its reducer as
-one row a task. The best star link of each document is confirmed, components are formed, and only documents that share a
-bucket but not a component are compared further, until every such pair within the radius has been confirmed or refuted.
+one row a task. The best star link of each document is confirmed and components are formed; components that share buckets are merged by their
+closest members, round by round; then of the documents that share a bucket but not a component,
+every pair within the radius that shares one of its rarest shingles, early enough in both sets (conditions that each link meets), is confirmed or refuted.
 
 Edge cases: null, empty or blank texts have the empty set and link with nothing; a text with fewer words than a shingle is one shingle;
 rows with a null doc_id get no component and are kept; rows that repeat a doc_id link through it; an empty table gives no rows; other columns are ignored.
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factweave.llm.util import binaries, coded, materialise, mix, ragged, ship, shuffle_partitions, slices, words
@@ -29,6 +30,8 @@ HASHES, CHUNKS, ERRORS = 128, 21, 1
 RADIUS = CHUNKS * (ERRORS + 1) - 1
 #: Key rows in a partition of the join, and documents whose ids are broadcast at most (16 bytes each).
 KEY_ROWS, BROADCAST_IDS = 2_000_000, 1_000_000
+#: Rounds of merging components that share buckets, before what is left is settled pair by pair.
+MERGES = 2
 
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -201,34 +204,49 @@ def confirm(percent: int):
     return run
 
 
-def cross_pairs(block: int = 512):
-    """Pairs (a, b) of one bucket but different components. A bucket comes sorted by key; blocks keep memory bounded."""
+def cross_pairs(percent: int, block: int = 512):
+    """Pairs (a, b) of different components that share the shingle `key` and can still link: sets are in one order of shingles, so two sets whose first common shingle has
+    `rest` shingles from it on in either can have no more in common than the smaller rest. Blocks keep memory bounded."""
+
+    def out(p: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[c.to_numpy() for c in (b.column("key"), b.column("id"), b.column("label"))] for b in batches if b.num_rows]
+        names = ("key", "id", "label", "n", "rest")
+        got = [[b.column(c).to_numpy() for c in names] for b in batches if b.num_rows]
         if not got:
             return
-        key, doc, label = (np.concatenate(x) for x in zip(*got, strict=True))
+        key, doc, label, n, rest = (np.concatenate(x) for x in zip(*got, strict=True))
         order = np.lexsort((doc, key))
-        key, doc, label = key[order], doc[order], label[order]
+        key, doc, label, n, rest = (x[order] for x in (key, doc, label, n, rest))
         held = np.zeros((0, 2), np.int64)
         for a, z in zip(*runs(key), strict=True):
             for i in range(a, z, block):
                 for j in range(i, z, block):
-                    x, y = np.nonzero(label[i : min(z, i + block), None] != label[None, j : min(z, j + block)])
-                    p = np.stack([doc[i + x], doc[j + y]], axis=1)
+                    x, y = (slice(v, min(z, v + block)) for v in (i, j))
+                    can = (label[x, None] != label[y]) & ((100 + percent) * np.minimum(rest[x, None], rest[y]) >= percent * (n[x, None] + n[y]))
+                    u, v = np.nonzero(can)
+                    p = np.stack([doc[i + u], doc[j + v]], axis=1)
                     held = np.concatenate([held, p[p[:, 0] < p[:, 1]]])
                     if len(held) > 1 << 18:
                         held = np.unique(held, axis=0)
                         if len(held) > 1 << 17:
-                            yield pa.RecordBatch.from_arrays([pa.array(held[:, 0].copy()), pa.array(held[:, 1].copy())], ["a", "b"])
+                            yield out(held)
                             held = held[:0]
-        held = np.unique(held, axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(held[:, 0].copy()), pa.array(held[:, 1].copy())], ["a", "b"])
+        yield out(np.unique(held, axis=0))
 
     return run
 
 
+def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of each set; row tells apart the sets of a repeated id."""
+    for b in batches:
+        for i in range(b.num_rows):
+            got = np.frombuffer(b.column("set")[i].as_buffer(), np.int64)
+            row = int(np.bitwise_xor.reduce(got)) if len(got) else 0
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), x, np.int64)) for x in (b.column("id")[i].as_py(), row, len(got))] + [pa.array(got)], ["id", "row", "n", "key"])
+
+
 # --- components --------------------------------------------------------------------------------------------------------------
 
 
@@ -297,17 +315,51 @@ class NearDuplicates:
         best = near.groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a")).select("a", "b")
         links = self.confirmed(materialise(best, "best"))
         labels = components(links)
-        # what shares a bucket but no component: the leaders' rows and members of all such buckets
-        members = stars.select("key", "id").unionByName(stars.filter("id <> leader").select("key", F.col("leader").alias("id")))
-        known = members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-        mixed = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-        rest = known.join(mixed, "key", "left_semi").distinct().repartition(n, "key").mapInArrow(cross_pairs(), "a long, b long").distinct()
-        done = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        open_ = materialise(self.within_radius(rest.join(done, ["a", "b"], "left_anti"), sigs).select("a", "b"), "open")
+        members = stars.select("key", "id").unionByName(stars.filter("id <> leader").select("key", F.col("leader").alias("id"))).distinct()
+        for turn in range(MERGES):
+            members = materialise(self.mixed(members, labels), "mixed")
+            if members.isEmpty():
+                break
+            new = self.confirmed(materialise(self.closest(members, sigs, turn), "closest"))
+            if new.isEmpty():
+                break
+            links = materialise(links.unionByName(new), "links")
+            labels = components(links)
+            members = members.select("key", "id")
+        # documents left that share a bucket but no component; of their pairs only those that share one of their rarest shingles can link
+        left = materialise(self.mixed(members.select("key", "id"), labels).select("id", "label").distinct(), "left")
+        rest = self.rarest(left).join(left, "id").repartition(n, "key").mapInArrow(cross_pairs(self.percent), "a long, b long").distinct()
+        open_ = materialise(self.within_radius(rest, sigs).select("a", "b"), "open")
         if not open_.isEmpty():
             links = links.unionByName(self.confirmed(open_))
         return components(links.unionByName(equal))
 
+    def mixed(self, members: DataFrame, labels: DataFrame) -> DataFrame:
+        """(key, id, label) of members(key, id) whose bucket holds more than one component."""
+        known = members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+        keys = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+        return known.join(keys, "key", "left_semi")
+
+    def rarest(self, ids: DataFrame) -> DataFrame:
+        """(key, id, n, rest) of the shingles of which a set must share one with each set that it links with: the n - ceil(n * percent / 100) + 1 that the fewest of
+        these documents have (ties by the hash), without those that only one has. Holds for any order of shingles that is the same for all."""
+        each = self.sets_of(ids.select("id")).mapInArrow(spread, "id long, row long, n long, key long")
+        often = each.groupBy("key").agg(F.count("*").alias("often"))
+        place = F.row_number().over(Window.partitionBy("id", "row").orderBy("often", "key"))
+        ranked = each.join(often, "key").withColumn("place", place)
+        return ranked.filter((F.col("place") <= F.col("n") - F.floor((F.col("n") * self.percent + 99) / 100) + 1) & (F.col("often") > 1)).select("key", "id", "n", (F.col("n") - F.col("place") + 1).alias("rest"))
+
+    def closest(self, members: DataFrame, sigs: DataFrame, turn: int) -> DataFrame:
+        """One pair (a, b) for each two components that meet: in a bucket one member of the first component (by label) stands against one of each
+        other; of the pairs that two components get from all buckets the one that agrees most stays. Large components that a few refuted links keep apart so merge before
+        their members are compared one by one."""
+        each = members.groupBy("key", "label").agg(F.min_by("id", F.xxhash64("id", "key", F.lit(turn))).alias("id"))
+        first = each.groupBy("key").agg(F.min(F.struct("label", "id")).alias("f")).select("key", F.col("f.label").alias("la"), F.col("f.id").alias("a"))
+        met = each.join(first, "key").filter("label <> la").groupBy("a", F.col("id").alias("b")).agg(F.first("la").alias("la"), F.first("label").alias("lb"))
+        met = materialise(met, "met")
+        near = self.within_radius(met.select("a", "b"), sigs).join(met, ["a", "b"])
+        return near.groupBy("la", "lb").agg(F.max(F.struct("same", "a", "b")).alias("best")).select("best.a", "best.b")
+
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id, kept for every row."""
         found = self.rows.select("doc_id", "n_shingles").join(self.labels().withColumnRenamed("id", "doc_id"), "doc_id", "left")
