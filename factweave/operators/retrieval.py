@@ -56,7 +56,9 @@ def resolve(nodes: DataFrame, names: DataFrame) -> DataFrame:
     """(name, id, how): each name's concept by its exact key, else the only one that contains it, else the only one with it as first or last word."""
     keyed = names.select("name", node_key(F.col("name")).alias("k"))
     exact = keyed.join(nodes.select("id"), F.col("k") == F.col("id")).select("name", "id", F.lit("exact").alias("how"), F.lit(0).alias("step"))
-    near = keyed.join(F.broadcast(nodes.select("id")) if False else nodes.select("id"), F.contains("id", "k")).withColumn("edge", F.startswith("id", F.concat("k", F.lit(" "))) | F.endswith("id", F.concat(F.lit(" "), "k")))
+    if keyed.count() > 10_000:
+        raise ValueError("resolve names in blocks of 10,000: each is looked for in every concept")
+    near = nodes.select("id").join(F.broadcast(keyed), F.contains("id", "k")).withColumn("edge", F.startswith("id", F.concat("k", F.lit(" "))) | F.endswith("id", F.concat(F.lit(" "), "k")))
     one = near.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.count_if("edge").alias("n_edge"), F.min(F.when(F.col("edge"), F.col("id"))).alias("id_edge"))
     part = one.filter("n = 1").select("name", "id", F.lit("part").alias("how"), F.lit(1).alias("step"))
     word = one.filter("n_edge = 1").select("name", F.col("id_edge").alias("id"), F.lit("word").alias("how"), F.lit(2).alias("step"))
