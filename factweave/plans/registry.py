@@ -1,4 +1,407 @@
-"""All queries of the reference's operators, with their SQL."""
+"""Queries that apply the operators to the test tables, with the same in SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from factweave.functions import keys
+from factweave.functions import text as T
+from factweave.operators import debate, graph, ingest, retrieval, temporal, view
+from factweave.sources import bindings as B
+from factweave.sources import readers, sinks
+from factweave.streaming import events as stream
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = "with recursive " + sql.strip().removeprefix("with ") if sql.strip().startswith("with ") else sql
+        return f
+
+    return add
+
+
+# --- text ---------------------------------------------------------------------------------------------------------------------
+
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOP_WORDS)
+_KEY = "trim(lower(trim(regexp_replace({x}, '\\s+', ' ', 'g'))), ' .,;:!?\"''`()[]{{}}<>*_#')"
+_SENTENCES = r"""
+s as (
+  select doc_id, i as sentence, p[i] as s from (
+    select doc_id, p, unnest(generate_series(1, len(p))) as i from (
+      select doc_id, list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n{2,}', chr(1), 'g'), '\n([-*#0-9])', chr(1) || '\1', 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '') as p from documents
+    )
+  )
+)"""
+_WORDS = (
+    _SENTENCES
+    + rf""", lw as (
+  select doc_id, sentence, list_filter(regexp_extract_all(s, '[A-Za-z][A-Za-z0-9''\-]*[A-Za-z0-9]|[A-Za-z]'), lambda x: length(x) >= 3 and lower(x) not in ({_STOP})) as l from s
+), w as (
+  select doc_id, sentence, i as place, case
+    when length(b) > 4 and b like '%ies' then left(b, length(b) - 3) || 'y' when length(b) > 4 and b like '%sses' then left(b, length(b) - 2)
+    when length(b) > 3 and b like '%s' and not (b like '%ss' or b like '%us' or b like '%is' or b like '%ous') then left(b, length(b) - 1) else b end as word
+  from (select doc_id, sentence, i, trim(lower(l[i]), '''-') as b from (select doc_id, sentence, l, unnest(generate_series(1, len(l))) as i from lw))
+), n as (
+  select a.doc_id, least(a.word, b.word) as a, greatest(a.word, b.word) as b, sum(4 - (b.place - a.place))::double as weight
+  from w a join w b on a.doc_id = b.doc_id and a.sentence = b.sentence and b.place - a.place between 1 and 3 and a.word <> b.word group by all
+)"""
+)
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.table(spark, sf_dir, "documents")
+
+
+@query(f"with {_SENTENCES} select doc_id, count(*) as sentences, sum(length(s))::bigint as chars from s group by doc_id")
+def text_sentences(spark, d):
+    return docs(spark, d).select("doc_id", F.explode(T.sentences(F.col("text"))).alias("s")).groupBy("doc_id").agg(F.count("*").alias("sentences"), F.sum(F.length("s")).cast("long").alias("chars"))
+
+
+@query(f"with {_WORDS} select doc_id, word, count(*) as n from w group by all")
+def text_content_words(spark, d):
+    return T.words_of(docs(spark, d)).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
+
+
+@query(f"with {_WORDS} select a, b, sum(weight) as weight, count(*) as docs from n group by a, b having sum(weight) >= 20")
+def text_cooccurrence(spark, d):
+    return T.window_pairs(docs(spark, d)).groupBy("a", "b").agg(F.sum("weight").alias("weight"), F.count("*").alias("docs")).filter("weight >= 20")
+
+
+@query(f"""with {_WORDS}, p as (select a, b, sum(weight) as weight from n group by a, b),
+  g as (select x, count(*) as degree from (select a as x from p union all select b from p) group by x)
+select a, b, weight, ga.degree as degree_a, gb.degree as degree_b from p join g ga on a = ga.x join g gb on b = gb.x order by weight desc, a, b limit 50""")
+def term_pairs_top(spark, d):
+    """The 50 strongest pairs of terms, with both degrees."""
+    pairs = T.window_pairs(docs(spark, d)).groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count("*").alias("degree"))
+    top = F.broadcast(pairs.orderBy(F.col("weight").desc(), "a", "b").limit(50))
+    of = lambda c: degree.select(F.col("x").alias(c), F.col("degree").alias(f"degree_{c}"))
+    return top.join(of("a"), "a").join(of("b"), "b").select("a", "b", "weight", "degree_a", "degree_b")
+
+
+@query("""select page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) as title_raw, length(html)::bigint as n from pages""")
+def page_titles(spark, d):
+    return B.table(spark, d, "pages").select("page_id", F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title_raw"), F.length("html").cast("long").alias("n"))
+
+
+@query(r"""with a as (select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?is)<noscript\b.*?</noscript\s*>', ' ', 'g'), '(?is)<svg\b.*?</svg\s*>', ' ', 'g'), '(?i)<br\s*/?>|</(?:p|div|li|h[1-6]|tr|section|article|blockquote|ul|ol|table|header|footer)\s*>', chr(10), 'g') as x from pages),
+b as (select page_id, replace(replace(replace(replace(replace(replace(regexp_replace(x, '(?s)<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') as x from a)
+select page_id, trim(regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '\n\s*\n+', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)) as text from b""")
+def page_text(spark, d):
+    return B.table(spark, d, "pages").select("page_id", T.strip_html(F.col("html")).alias("text"))
+
+
+@query("""select conv_id, string_agg(role || ': ' || trim(text), chr(10) || chr(10) order by turn) as text, count(*) as turns from conversations
+where lower(role) in ('user', 'assistant', 'system', 'human', 'ai', '') and trim(text) <> '' group by conv_id""")
+def transcripts(spark, d):
+    turns = B.table(spark, d, "conversations").select("conv_id", "turn", F.lower("role").alias("role"), F.btrim("text").alias("said")).filter(F.col("role").isin(*readers.SPOKEN) & (F.col("said") != ""))
+    return readers.spoken(turns, "conv_id", "turn").join(turns.groupBy("conv_id").agg(F.count("*").alias("turns")), "conv_id")
+
+
+@query()
+def chunks(spark, d):
+    """Chunks of all documents (a stateful fold; held against a plain version in the tests)."""
+    return ingest.chunks(docs(spark, d).select(F.col("doc_id").cast("string").alias("id"), "text")).select("id", "source_id", "idx", F.length("text").alias("chars"))
+
+
+@query(f"""select c_custkey, {_KEY.format(x="'  ' || c_name || ' (' || c_mktsegment || ').  '")} as key, 'e-' || left(sha256(c_name || '|in|' || c_mktsegment || '||||||'), 12) as edge from customer""")
+def identity_keys(spark, d):
+    label = F.concat(F.lit("  "), "c_name", F.lit(" ("), "c_mktsegment", F.lit(").  "))
+    return B.table(spark, d, "customer").select("c_custkey", keys.node_key(label).alias("key"), keys.edge_id(F.col("c_name"), F.lit("in"), F.col("c_mktsegment")).alias("edge"))
+
+
+@query("""select doc_id, 's-' || left(sha256(text), 12) || case when r > 1 then '-' || (r - 1) else '' end as id, (r - 1)::int as copy from (select *, row_number() over (partition by sha256(text) order by doc_id) as r from documents)""")
+def source_versions(spark, d):
+    return ingest.sources(docs(spark, d).select(F.format_string("%012d", "doc_id").alias("uri"), "doc_id", "text")).select("doc_id", "id", F.col("copy").cast("int").alias("copy"))
+
+
+@query(r"""select doc_id, (case when s > 0 then '…' else '' end) || substr(f, s + 1, 240) || (case when s + 240 < length(f) then '…' else '' end) as excerpt
+from (select doc_id, f, case when p = 0 then 0 else greatest(0, p - 1 - 80) end as s from (select doc_id, f, instr(lower(f), 'the') as p from (select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as f from documents)))""")
+def excerpts(spark, d):
+    return docs(spark, d).select("doc_id", T.excerpt(F.col("text"), F.lit("the")).alias("excerpt"))
+
+
+# --- time ---------------------------------------------------------------------------------------------------------------------
+
+_STATUS = "e as (select 'user:' || user_id as source, event_type as target, 'last_event' as relation, ts as valid_from, lead(ts) over (partition by user_id order by ts, event_id) as valid_to, 'e-' || event_id as id from events)"
+_AT = "timestamp '2024-01-15'"
+
+
+def at():
+    return F.lit("2024-01-15").cast("timestamp_ntz")
+
+
+@query(f"with {_STATUS} select target, count(*) as n from e where valid_from <= {_AT} and (valid_to is null or valid_to > {_AT}) group by target")
+def edges_as_of(spark, d):
+    return temporal.as_of(B.status_edges(spark, d), at()).groupBy("target").agg(F.count("*").alias("n"))
+
+
+@query(f"with {_STATUS} select count(*) as edges, count(*) filter (valid_to is null) as open, count(*) filter (valid_to is not null) as closed, count(distinct relation) as relations from e")
+def edge_counts(spark, d):
+    return temporal.edge_counts(B.status_edges(spark, d))
+
+
+@query(f"with {_STATUS} select node, min(valid_from) as first_seen from (select source as node, valid_from from e union all select target, valid_from from e) group by node")
+def first_seen(spark, d):
+    return temporal.first_seen(B.status_edges(spark, d))
+
+
+@query(f"with {_STATUS} select distinct t as at from (select valid_from as t from e union all select valid_to from e) where t is not null order by t desc limit 400")
+def time_marks(spark, d):
+    return temporal.time_marks(B.status_edges(spark, d))
+
+
+@query(f"""with {_STATUS}, o as (select * from e where source = 'user:7')
+select min(valid_from) as at, 'first seen' as event, null::varchar as relation, null::varchar as source, null::varchar as target, null::varchar as id from o
+union all select valid_from, 'relation added', relation, source, target, id from o union all select valid_to, 'relation closed', relation, source, target, id from o where valid_to is not null""")
+def timeline(spark, d):
+    return temporal.timeline(B.status_edges(spark, d), "user:7")
+
+
+@query("""with c as (select 'e-' || (event_id % 500) as edge, event_id as seq, ts as moment, event_id::varchar as who from events where event_type = 'error'),
+f as (select edge, arg_min(moment, seq) as closed_at, arg_min(who, seq) as closed_by from c group by edge)
+select 'e-' || event_id as id, f.closed_at as valid_to, 'edge:' || closed_by as invalidated_by from events left join f on f.edge = 'e-' || event_id""")
+def supersede(spark, d):
+    e = B.table(spark, d, "events")
+    edges = e.select(F.concat(F.lit("e-"), F.col("event_id").cast("string")).alias("id"), F.lit(None).cast("timestamp_ntz").alias("valid_to"))
+    close = e.filter("event_type = 'error'").select(F.concat(F.lit("e-"), (F.col("event_id") % 500).cast("string")).alias("edge"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), F.col("event_id").cast("string").alias("by"))
+    return temporal.supersede(edges, close).select("id", "valid_to", "invalidated_by")
+
+
+@query("""select id, sum(weight) as weight, arg_min(relation, seq) as relation from (select 'e-' || user_id || '-' || (event_id % 7) as id, event_id as seq, 1.0::double as weight, event_type as relation from events) group by id""")
+def fold_edges(spark, d):
+    facts = B.table(spark, d, "events").select(F.concat(F.lit("e-"), F.col("user_id").cast("string"), F.lit("-"), (F.col("event_id") % 7).cast("string")).alias("id"), F.col("event_id").alias("seq"), F.lit(1.0).alias("weight"), F.col("event_type").alias("relation"))
+    return temporal.fold_edges(facts)
+
+
+@query("""select time_bucket(interval '30 days', ts, timestamp '1970-01-01') as start, event_type as topic, count(*) as n from events group by all""")
+def rhythm(spark, d):
+    return stream.rhythm(B.table(spark, d, "events").withColumn("ts", F.col("ts")), "ts", "event_type").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""with a as (select *, case when ts <= lag(ts) over w + interval '30 minutes' then 0 else 1 end as new from events window w as (partition by user_id order by ts)),
+b as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as s from a)
+select user_id as "user", min(ts) as start, max(ts) + interval '30 minutes' as "end", count(*) as n from b group by user_id, s""")
+def sessions(spark, d):
+    out = stream.sessions(B.table(spark, d, "events"), "ts", "user_id")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
+@query("select event_id as seq, event_type as kind from events where event_id > 1000 order by event_id limit 500")
+def events_since(spark, d):
+    log = B.table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("event_type").alias("kind"))
+    return stream.since(log, 1000)
+
+
+# --- views and graphs ---------------------------------------------------------------------------------------------------------
+
+_GEO = """g as (select 'customer:' || c_custkey as source, 'located_in' as relation, 'nation:' || c_nationkey as target from customer union all select 'supplier:' || s_suppkey, 'located_in', 'nation:' || s_nationkey from supplier
+union all select 'nation:' || n_nationkey, 'part_of', 'region:' || n_regionkey from nation)"""
+_TRADE = """t as (select least(c_nationkey, s_nationkey) as a, greatest(c_nationkey, s_nationkey) as b, count(*)::double as weight from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey where c_nationkey <> s_nationkey group by 1, 2)"""
+_ENDS = "z as (select a as x, b as y, weight from t union all select b, a, weight from t)"
+
+
+def geo_pairs(spark, d):
+    return B.geo_edges(spark, d).select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), F.lit(1.0).alias("weight"))
+
+
+def regions(spark, d):
+    return B.table(spark, d, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("label"))
+
+
+def trade_top(spark, d):
+    t = B.trade_pairs(spark, d)
+    return t.join(F.broadcast(t.agg(F.avg("weight").alias("mean")))).filter("weight > mean").select(F.format_string("n%02d", "a").alias("a"), F.format_string("n%02d", "b").alias("b"), "weight")
+
+
+@query(f"with {_GEO} select node, count(*) as degree from (select source as node from g union all select target from g) group by node")
+def node_degrees(spark, d):
+    return view.edge_degrees(B.geo_edges(spark, d))
+
+
+@query(f"with {_GEO} select relation, count(*) as n from g group by relation order by n desc limit 30")
+def relation_counts(spark, d):
+    return B.geo_edges(spark, d).groupBy("relation").agg(F.count("*").alias("n")).orderBy(F.col("n").desc()).limit(30)
+
+
+@query(f"with {_TRADE}, {_ENDS} select x as node, count(*) as degree, sum(weight) as strength, round(count(*) / (max(count(*)) over ()), 4) as degree_norm from z group by x")
+def centrality_degrees(spark, d):
+    return view.degrees(B.trade_pairs(spark, d))
+
+
+@query("""select least(source, target) as a, greatest(source, target) as b, sum(case when method = 'cooccurrence' then weight else 4.0 * case when confidence is null or confidence = 0 then 1.0 else confidence end end) as weight
+from (select l_partkey::varchar as source, 's' || l_suppkey as target, case when l_linenumber % 2 = 0 then 'cooccurrence' else 'stated' end as method, l_quantity as weight, case when l_linenumber % 3 = 0 then 0.0 when l_linenumber % 3 = 1 then 0.5 end as confidence from lineitem) group by 1, 2""")
+def view_pairs(spark, d):
+    line = F.col("l_linenumber")
+    edges = B.table(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("source"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("target"), F.when(line % 2 == 0, "cooccurrence").otherwise("stated").alias("method"), F.col("l_quantity").alias("weight"), F.when(line % 3 == 0, 0.0).when(line % 3 == 1, 0.5).alias("confidence"))
+    return view.build_view(edges)
+
+
+@query("""with m as (select distinct l_orderkey as chunk_id, l_suppkey as node_id from lineitem), c as (select chunk_id from m group by chunk_id having count(*) between 2 and 40)
+select x.node_id as a, y.node_id as b, count(*) as shared from m x join m y using (chunk_id) join c using (chunk_id) where x.node_id < y.node_id group by 1, 2""")
+def proximity(spark, d):
+    return view.proximity(B.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.col("l_suppkey").alias("node_id")))
+
+
+@query(f"""with {_TRADE}, {_ENDS}, v as (select n_regionkey as label, sum(weight) as total from z join nation on x = n_nationkey group by 1), i as (select na.n_regionkey as label, sum(2 * weight) as inside from t join nation na on a = na.n_nationkey join nation nb on b = nb.n_nationkey where na.n_regionkey = nb.n_regionkey group by 1), m as (select 2 * sum(weight) as m2 from t)
+select round(sum(coalesce(inside, 0) / m2 - pow(total / m2, 2)), 4) as q from v left join i using (label), m""")
+def modularity(spark, d):
+    return view.modularity(B.trade_pairs(spark, d), regions(spark, d))
+
+
+@query(f"with {_TRADE} select least(na.n_regionkey, nb.n_regionkey) as la, greatest(na.n_regionkey, nb.n_regionkey) as lb, sum(weight) as observed from t join nation na on a = na.n_nationkey join nation nb on b = nb.n_nationkey where na.n_regionkey <> nb.n_regionkey group by 1, 2")
+def community_links(spark, d):
+    return view.community_links(B.trade_pairs(spark, d), regions(spark, d))
+
+
+@query(f"""with {_GEO}, l as (select 'nation:' || n_nationkey as node, 'region:' || n_regionkey as label from nation union all select 'customer:' || c_custkey, 'region:' || n_regionkey from customer join nation on c_nationkey = n_nationkey union all select 'supplier:' || s_suppkey, 'region:' || n_regionkey from supplier join nation on s_nationkey = n_nationkey union all select 'region:' || r_regionkey, 'region:' || r_regionkey from region),
+v as (select label, sum(d) as volume, count(*) as size from l join (select node, count(*) as d from (select source as node from g union all select target from g) group by node) using (node) group by label), m as (select 2 * count(*) as m2 from g)
+select a.label as la, b.label as lb, 1.0::double as score, 0.0::double as observed, round(a.volume * b.volume / m2, 2)::double as expected, least(a.size, b.size) as smaller from v a join v b on a.label < b.label, m order by -ln(2 + least(a.size, b.size)), 1, 2 limit 5""")
+def structural_gaps(spark, d):
+    pairs = geo_pairs(spark, d)
+    return view.structural_gaps(pairs, graph.components(pairs).select("node", F.col("component")).join(geo_regions(spark, d), "node").select("node", "label"))
+
+
+def geo_regions(spark, d):
+    nation = B.table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.concat(F.lit("region:"), F.col("n_regionkey").cast("string")).alias("label"))
+    of = lambda t, kind, key, up: B.table(spark, d, t).select(F.concat(F.lit(f"{kind}:"), F.col(key).cast("string")).alias("node"), F.col(up).alias("k")).join(F.broadcast(nation), "k").select("node", "label")
+    region = B.table(spark, d, "region").select(F.concat(F.lit("region:"), F.col("r_regionkey").cast("string")).alias("node")).withColumn("label", F.col("node"))
+    return of("customer", "customer", "c_custkey", "c_nationkey").unionByName(of("supplier", "supplier", "s_suppkey", "s_nationkey")).unionByName(nation.select(F.concat(F.lit("nation:"), F.col("k").cast("string")).alias("node"), "label")).unionByName(region)
+
+
+@query(f"with {_TRADE}, {_ENDS} select x as node, count(distinct nb.n_regionkey) as \"foreign\" from z join nation na on x = na.n_nationkey join nation nb on y = nb.n_nationkey where na.n_regionkey <> nb.n_regionkey group by x")
+def bridges(spark, d):
+    return view.bridges(B.trade_pairs(spark, d), regions(spark, d))
+
+
+@query("select distinct l_partkey as node from lineitem where l_suppkey = 1 intersect select distinct l_partkey from lineitem where l_suppkey = 2")
+def shared_neighbours(spark, d):
+    pairs = B.table(spark, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("a"), F.col("l_partkey").cast("string").alias("b"), F.lit(1.0).alias("weight")).distinct()
+    return view.shared_neighbours(pairs, "s1", "s2").select(F.col("node").cast("long").alias("node"))
+
+
+@query(f"with {_GEO}, p as (select source as x, target as y from g union all select target, source from g), r as (select 'region:0' as node, 0 as hops union select y, hops + 1 from r join p on x = node where hops < 4) select node, min(hops) as hops from r group by node")
+def hops(spark, d):
+    return graph.hops(geo_pairs(spark, d), "region:0")
+
+
+@query(f"""with {_GEO}, r as (select node, label from (select 'nation:' || n_nationkey as node, n_regionkey as label from nation union all select 'customer:' || c_custkey, n_regionkey from customer join nation on c_nationkey = n_nationkey union all select 'supplier:' || s_suppkey, n_regionkey from supplier join nation on s_nationkey = n_nationkey union all select 'region:' || r_regionkey, r_regionkey from region where r_regionkey in (select n_regionkey from nation)))
+select node, min(node) over (partition by label) as component from r""")
+def components(spark, d):
+    return graph.components(geo_pairs(spark, d))
+
+
+_TOP = "tt as (select 'n' || lpad(a::varchar, 2, '0') as a, 'n' || lpad(b::varchar, 2, '0') as b, weight from t where weight > (select avg(weight) from t)), zz as (select a as x, b as y, weight from tt union all select b, a, weight from tt)"
+
+
+@query(f"""with {_TRADE}, {_TOP}, r as (select distinct x as node, 0.0::double as dist, 0 as i from zz where x = 'n00' union select y, dist + 1 / weight, i + 1 from r join zz on x = node where i < 6 and y <> 'n00') select node, round(min(dist), 9) as dist from r group by node""")
+def distances(spark, d):
+    return graph.distances(trade_top(spark, d), "n00").select("node", F.round("dist", 9).alias("dist"))
+
+
+@query()
+def betweenness(spark, d):
+    return graph.betweenness(trade_top(spark, d)).select("node", F.round("betweenness", 4).alias("betweenness"))
+
+
+@query()
+def louvain(spark, d):
+    return graph.louvain(trade_top(spark, d))
+
+
+@query()
+def label_propagation(spark, d):
+    return graph.label_propagation(trade_top(spark, d))
+
+
+@query()
+def girvan_newman(spark, d):
+    return graph.girvan_newman(trade_top(spark, d), levels=1)
+
+
+# --- retrieval ----------------------------------------------------------------------------------------------------------------
+
+_TERMS = ("the", "ing", "tion")
+
+
+@query(f"""with p as (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+')) as term from documents), i as (select term, doc_id, count(*) as tf from p group by all), s as (select doc_id, count(*) as size from p group by doc_id), m as (select count(*) as n, avg(size) as mean from s),
+f as (select term, count(*) as df from i where term in {_TERMS} group by term)
+select doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) as score from i join f using (term) join s using (doc_id), m group by doc_id""")
+def bm25(spark, d):
+    found = retrieval.bm25(retrieval.index(docs(spark, d), "doc_id"), list(_TERMS), "doc_id")
+    return found.select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("""select l_suppkey as node_id, l_orderkey as chunk_id, n as count, r as place from (select *, row_number() over (partition by l_suppkey order by n desc, l_orderkey) as r from (select l_suppkey, l_orderkey, count(*) as n from lineitem group by all)) where r <= 5""")
+def top_passages(spark, d):
+    m = B.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("node_id"), F.col("l_orderkey").alias("chunk_id")).agg(F.count("*").alias("count"))
+    return retrieval.top_passages(m).withColumn("place", F.col("place").cast("long"))
+
+
+@query()
+def context_packing(spark, d):
+    """For each source, the first documents that fit a budget of characters; an order-dependent fold. Twenty documents of each source are offered."""
+    first = Window.partitionBy("source").orderBy("doc_id")
+    offered = docs(spark, d).withColumn("r", F.row_number().over(first)).filter("r <= 20").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("items"))
+    return offered.select("source", F.transform(retrieval.pack(F.col("items"), 12_000), lambda x: x["doc_id"]).alias("kept"))
+
+
+# --- debate -------------------------------------------------------------------------------------------------------------------
+
+_CLAIM = "c as (select 'doc:' || doc_id as source, case when quality = 1 then 'supports' else 'contradicts' end as relation, 'source ' || d.source || ' is good' as target, 'e-' || doc_id as id, case when toxic = 1 then 0.5 else 0.9 end as confidence from labels join documents d using (doc_id))"
+
+
+@query(f"with {_CLAIM} select target, count(*) filter (relation = 'supports') as supports, count(*) filter (relation = 'contradicts') as contradicts from c group by target")
+def evidence_sides(spark, d):
+    return debate.sides(B.claim_edges(spark, d))
+
+
+@query(f"with {_CLAIM} select source as other, relation, id, (row_number() over (order by confidence desc, relation, id))::int as place from c where target = 'source src0 is good' qualify place <= 50")
+def show(spark, d):
+    return debate.show(B.claim_edges(spark, d), "source src0 is good").select("other", "relation", "id", F.col("place").cast("int").alias("place"))
+
+
+@query("""with e as (select event_id, user_id % 20 as u, value, case when value < 10 then 'increases' when value < 20 then 'reduces' when value < 25 then 'supports' when value < 30 then 'refutes' else 'mentions' end as relation from events where event_type <> 'click')
+select 'e-' || least(a.event_id, b.event_id) as edge_a, 'e-' || greatest(a.event_id, b.event_id) as edge_b from e a join e b on a.u = b.u and ((a.relation = 'increases' and b.relation = 'reduces') or (a.relation = 'supports' and b.relation = 'refutes'))""")
+def contradictions(spark, d):
+    v = F.col("value")
+    relation = F.when(v < 10, "increases").when(v < 20, "reduces").when(v < 25, "supports").when(v < 30, "refutes").otherwise("mentions")
+    edges = B.table(spark, d, "events").filter("event_type <> 'click'").select(F.concat(F.lit("e-"), F.col("event_id").cast("string")).alias("id"), F.concat(F.lit("user:"), (F.col("user_id") % 20).cast("string")).alias("source"), F.lit("x").alias("target"), relation.alias("relation"), F.lit("").alias("description"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("valid_from"), F.lit(None).cast("string").alias("valid_to"), F.lit("stated").alias("method"))
+    return debate.candidates(edges).select("edge_a", "edge_b")
+
+
+# --- sinks --------------------------------------------------------------------------------------------------------------------
+
+
+def geo_nodes(spark, d):
+    return B.table(spark, d, "nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("label"), F.lit("place").alias("type"))
+
+
+@query("""select '<node id="nation:' || n_nationkey || '"><data key="label">' || n_name || '</data><data key="type">place</data></node>' as line from nation
+union all select '<edge source="nation:' || n_nationkey || '" target="region:' || n_regionkey || '"><data key="relation">part_of</data></edge>' from nation""")
+def graphml(spark, d):
+    return sinks.graphml(geo_nodes(spark, d), B.geo_edges(spark, d).filter("relation = 'part_of'")).filter("part in (1, 2)").select("line")
+
+
+@query("""select 'nodes' as "group", '{"data":{"id":"nation:' || n_nationkey || '","label":"' || n_name || '","type":"place"}}' as element from nation""")
+def cytoscape(spark, d):
+    return sinks.cytoscape(geo_nodes(spark, d), B.geo_edges(spark, d)).filter("group = 'nodes'")
+
+
+@query("""select p_partkey::varchar as id, case when r = 1 then p_name else p_name || ' (' || r || ')' end as name from (select *, row_number() over (partition by lower(p_name) order by p_partkey::varchar) as r from part)""")
+def file_names(spark, d):
+    return sinks.file_names(B.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("label")))
+
+
+@query()
+def vault(spark, d):
+    edges = B.geo_edges(spark, d).filter("relation = 'part_of'")
+    return sinks.vault(geo_nodes(spark, d), edges.unionByName(edges.select(F.col("source").alias("target"), "relation", F.col("source"))).filter("source <> target"))
