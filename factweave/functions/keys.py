@@ -35,7 +35,8 @@ def truthy(value: Column, otherwise: float) -> Column:
 
 
 def confidence(value: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value.try_cast("double")))
+    number = value.try_cast("double")
+    return F.when(number.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))
 
 
 def parse_time(value: Column) -> Column:

@@ -37,7 +37,8 @@ class Plan:
 
 def named(question: str, labels: list[str]) -> list[str]:
     """Labels that stand in the question as whole words: longest first, none inside another, in the order of their places."""
-    text, taken, found = f" {re.sub(r'[^\\w]+', ' ', question.lower())} ", [], []
+    plain = re.sub(r"\W+", " ", question.lower())
+    text, taken, found = f" {plain} ", [], []
     for label in sorted(labels, key=lambda x: (-len(x), x)):
         at = text.find(f" {label.lower()} ")
         if at >= 0 and all(at + len(label) + 1 <= a or at + 1 >= z for a, z in taken):
