@@ -81,6 +81,8 @@ def grams(unique: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 def train_model(languages: list[str], texts: list[str]) -> Model:
     names = sorted(set(languages))
+    if not names:
+        return Model([], np.zeros((BINS, 0), np.float32), np.zeros((len(NAMES), 0), bool))
     counts = np.full((BINS, len(names)), 0.0)
     letters = np.zeros((len(NAMES), len(names)))
     for k, name in enumerate(names):

@@ -35,7 +35,7 @@ LOOSE = {
 }
 #: A text without these has no candidate of the kind.
 QUICK = {"email": r"@|[\[({ ]dot[\])} ]", "ip": r"[0-9]\.[0-9]|:[0-9A-Fa-f]{1,4}:", "card": r"[0-9][\x20-]?[0-9]", "phone": r"[0-9)][\x20().-]?[0-9(]"}
-OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 TAILS = "com org net edu gov int info biz io de fr es it uk eu ch at nl be us ca mx ar br"
 #: Context words by kind, in English, German, French and Spanish; and words that tell against all kinds.
 CONTEXT = {
