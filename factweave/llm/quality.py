@@ -3,8 +3,9 @@
 Base features come from whole texts. On top of the base rules, each rule (symbol rate, repeated-line rate, repeated-word
 rate, mean word length) gets a cutoff for each stratum (language): labelled good documents of a holdout vote on a grid of
 cutoffs from lenient to strict; a cutoff is certified while the exact binomial tail P(Bin(n, alpha) <= k) for its k false
-rejections among n stays at or under delta / (strata x rules) (fixed-sequence testing in a rule, Bonferroni over rules and strata), and
-among certified cutoffs the strictest one that still gains rejections of bad documents wins. Strata without enough labels certify nothing
+rejections among n stays at or under delta / (strata x rules) (fixed-sequence testing in a rule, Bonferroni over rules and strata). alpha is the share of a
+stratum's good documents that all rules together may reject, dealt out evenly among the rules. Of the certified cutoffs the one with the largest gain wins: bad documents
+rejected less `COST` times the good ones; a rule without a gain rejects nothing. Strata without enough labels certify nothing
 and so reject nothing beyond the base rules.
 
 Edge cases: a null or empty text has no words (all counts 0, base_failed true); null doc_id or lang are kept as they are, a null
@@ -21,6 +22,8 @@ from factweave.llm.util import SPACES, materialise
 
 SYMBOLS = "#*$%&|<>"
 SPACE = r"[\x20\x09-\x0D]+"
+#: Bad documents that one good document's rejection must at least bring.
+COST = 10
 RULES = ("symbol_rate", "dup_line_rate", "repeat_rate", "long_words", "short_words")
 
 
@@ -113,14 +116,14 @@ def certify(labelled: DataFrame, alpha: float, delta: float) -> DataFrame:
         f"sum(good) over ({by}) as n",
     )
     tests = steps.select("lang").distinct().agg((F.count("*") * len(RULES)).alias("m"))
-    tested = steps.join(F.broadcast(tests)).withColumn("p", binomial_tail(F.col("k"), F.col("n"), alpha)).withColumn("ok", F.col("p") <= F.lit(delta) / F.col("m"))
-    # in order from lenient to strict, all tests up to the cutoff must hold; the strictest with a gain stays
-    passed = tested.selectExpr("*", f"min(ok) over ({by} order by cutoff desc) as held").filter("held and caught > 0")
-    best = passed.selectExpr("*", f"row_number() over ({by} order by caught desc, k, cutoff desc) as r").filter("r = 1")
+    tested = steps.join(F.broadcast(tests)).withColumn("p", binomial_tail(F.col("k"), F.col("n"), alpha / len(RULES))).withColumn("ok", F.col("p") <= F.lit(delta) / F.col("m"))
+    # in order from lenient to strict, all tests up to the cutoff must hold; the one with the largest gain stays
+    passed = tested.selectExpr("*", f"min(ok) over ({by} order by cutoff desc) as held").filter(f"held and caught > {COST} * k")
+    best = passed.selectExpr("*", f"row_number() over ({by} order by caught - {COST} * k desc, cutoff desc) as r").filter("r = 1")
     return best.select("lang", "rule", "cutoff", "k", "n", "caught", "p")
 
 
-def rules_from(features_: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
+def rules_from(features_: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
     """Certified cutoffs from the labelled documents among those with features; only documents that pass the base rules vote."""
     votes = labels.filter("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("long").alias("good"))
     return certify(rates(features_.filter(~base_failed())).join(votes, "doc_id"), alpha, delta)
@@ -135,7 +138,7 @@ def apply_rules(features_: DataFrame, cutoffs: DataFrame) -> DataFrame:
     return x.withColumn("reason", reason).withColumn("kept", F.col("reason").isNull())
 
 
-def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
+def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
     """Features, base rules and certified cutoffs for every row of docs."""
     found = materialise(features(docs), "quality")
     cutoffs = materialise(rules_from(found, labels, alpha, delta), "cutoffs")
