@@ -114,7 +114,7 @@ class Encoder:
     """Ids of words. The tokenizer drops white space, so a text's ids are those of its words in a row, and a word that comes again
     need not be encoded again. At most `keep` parts of words are remembered."""
 
-    def __init__(self, path: str, keep: int = 700_000):
+    def __init__(self, path: str, keep: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -192,7 +192,7 @@ def encode_segments(path: str | None, end_id: int, segment_ids: int):
             held, size, seg, start = [], 0, seg + 1, start + len(ids)
             return row
 
-        for b in slices(batches, limit=12 << 20):
+        for b in slices(batches, limit=5 << 20):
             ids, counts = enc.texts(b.column("text"), end_id)
             key = b.column("doc_id")
             nulls, doc_ids = key.is_null().to_numpy(zero_copy_only=False), key.fill_null(0).to_numpy()
