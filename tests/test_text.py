@@ -1,3 +1,6 @@
+import html
+import re
+
 from pyspark.sql import functions as F
 
 from factweave.functions import keys, text
@@ -47,3 +50,18 @@ def test_models_and_router():
     assert models.ask_json(lambda s, p: next(replies), "", "x") == {"a": 1}
     plan = router.choose("How is solar power connected to grid storage?", ["solar", "solar power", "grid storage"])
     assert (plan.lens, plan.concepts) == ("path", ["solar power", "grid storage"])
+
+
+def plain_strip(raw):
+    raw = re.sub(r"(?is)<(script|style|noscript|svg)\b.*?</\1\s*>", " ", raw)
+    raw = re.sub(r"(?i)<br\s*/?>|</(?:p|div|li|h[1-6]|tr|section|article|blockquote|ul|ol|table|header|footer)\s*>", "\n", raw)
+    raw = html.unescape(re.sub(r"<[^>]+>", " ", raw))
+    return re.sub(r"\n\s*\n+", "\n\n", re.sub(r"[ \t]+", " ", raw)).strip()
+
+
+def test_strip_html_decodes_all_references(spark):
+    pages = ["", None, "<title> Caf&eacute; &mdash; &#8217;&#x2019; </title><p>&copy; 2024 &middot; a&nbsp;b &lt;c&gt; &amp;copy; &amp;amp;lt;</p>", "<p>x</p>\n&nbsp;\n<script>&copy;</script><div>&notit; &hellip &#0; &#xD800; &bogus;</div>&nbsp;", "<p>&ldquo;Stra&szlig;e&rdquo;&#10;&#10;&#10;end</p>"]
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, h string")
+    got = {r.i: r for r in df.select("i", text.strip_html(F.col("h")).alias("t"), text.html_title(F.col("h")).alias("title")).collect()}
+    assert [got[i].t for i in range(len(pages))] == [h if h is None else plain_strip(h) for h in pages]
+    assert got[2].title == "Café — ’’" and "© 2024 · a\xa0b <c> &copy; &amp;lt;" in got[2].t
