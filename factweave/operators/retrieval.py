@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,3 +80,42 @@ def pack(items: Column, budget: int) -> Column:
     state = F.struct(F.lit(0).alias("used"), F.filter(items, lambda x: F.lit(False)).alias("kept"))
     take = lambda a, x: F.when(a["used"] + F.length(x["text"]) <= budget, F.struct((a["used"] + F.length(x["text"])).alias("used"), F.concat(a["kept"], F.array(x)).alias("kept"))).otherwise(a)
     return F.aggregate(items, state, take, lambda a: a["kept"])
+
+
+def pack_all(items: DataFrame, group: str, key: str, size: Column, budget: int) -> DataFrame:
+    """(group, kept): of any number of items what `pack` keeps, by their sizes in order of key; groups that keep nothing have an empty array. Items without a size
+    never fit; of equal keys the smaller item comes first. Each map task first drops what can't fit: an item fits only if it and those before it that are no larger fit together
+    (had one of these not fitted, then less than its size was left). So a few items of a group and task are shuffled, and one task folds them."""
+
+    def fold(last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            begun, now, used, least, taken = False, None, 0, 0, []
+            for b in batches:
+                fits, rows = [], []
+                for i, (g, n) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                    first = not begun or g != now
+                    if first:
+                        begun, now, used, least, taken = True, g, 0, budget + 1, []
+                    ok = n is not None and n < least
+                    if ok and last:
+                        ok = used + n <= budget
+                        used += n * ok
+                    elif ok:
+                        ok = n == 0 or sum(taken[: bisect_right(taken, n)]) + n <= budget
+                        if not ok:
+                            least = n
+                        elif n:
+                            insort(taken, n)
+                    if ok or first:
+                        fits.append(ok)
+                        rows.append(i)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([*b.take(pa.array(rows, pa.int64())).columns, pa.array(fits, pa.bool_())], ["g", "k", "n", "fits"])
+
+        return run
+
+    each = items.select(F.col(group).alias("g"), F.col(key).alias("k"), size.cast("long").alias("n"))
+    schema = f"g {each.schema['g'].dataType.simpleString()}, k {each.schema['k'].dataType.simpleString()}, n long, fits boolean"
+    few = each.sortWithinPartitions("g", "k", "n").mapInArrow(fold(False), schema).select("g", "k", F.when(F.col("fits"), F.col("n")).alias("n"))
+    done = few.repartition("g").sortWithinPartitions("g", "k", "n").mapInArrow(fold(True), schema)
+    return done.groupBy(F.col("g").alias(group)).agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("fits"), F.struct("k", "n")))), lambda x: x["k"]).alias("kept"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.functions import keys
@@ -348,10 +348,8 @@ def top_passages(spark, d):
 
 @query()
 def context_packing(spark, d):
-    """For each source, the first documents that fit a budget of characters; an order-dependent fold. Twenty documents of each source are offered."""
-    first = Window.partitionBy("source").orderBy("doc_id")
-    offered = docs(spark, d).withColumn("r", F.row_number().over(first)).filter("r <= 20").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("items"))
-    return offered.select("source", F.transform(retrieval.pack(F.col("items"), 12_000), lambda x: x["doc_id"]).alias("kept"))
+    """For each source, of all its documents those that fit a budget of characters, in order; an order-dependent fold."""
+    return retrieval.pack_all(docs(spark, d), "source", "doc_id", F.length("text"), 12_000)
 
 
 # --- debate -------------------------------------------------------------------------------------------------------------------
