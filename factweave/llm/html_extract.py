@@ -8,7 +8,7 @@ The potentials come from labelled pages that `labelled_pages` makes: layouts wit
 or menu, header, footer, sidebar, notice, advert, form or comment.
 
 Edge cases: null and empty pages, and pages without content, give the empty text; broken markup (unclosed tags and comments, stray end
-tags, bare '<') is parsed as far as it goes; null page_id or url stay; repeated rows each give a row; an empty table gives no rows; other columns are ignored.
+tags, bare '<') is parsed as far as it goes, and only script, style, iframe, textarea and title without an end tag take the rest of the page; null page_id or url stay; repeated rows each give a row; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,9 +28,12 @@ from factweave.llm.util import ship, slices
 MARKUP = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 TOKEN = re.compile(r"[a-z]+|[A-Z][a-z]*")
-#: Elements whose contents are never text of the page.
-RAW = frozenset("script style noscript template svg math iframe object canvas video audio textarea select option title head-only button".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input link meta base source track param area br svg picture map".split())
+#: Elements whose contents aren't markup: they end at their end tag only, as HTML has it.
+RAW = frozenset("script style iframe textarea title".split())
+#: Elements with markup inside whose contents are never text of the page. One that isn't closed itself ends with its parent, and only its own text up to the first block in it is left out.
+SILENT = frozenset("noscript template svg object canvas video audio select option button".split())
+MATH = frozenset("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd semantics annotation annotation-xml".split())
+INLINE = MATH | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input link meta base source track param area br svg picture map".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Start tags before which an open element of these names ends.
 ENDS = {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
@@ -38,12 +41,25 @@ KINDS = {**dict.fromkeys("p blockquote pre".split(), "prose"), **dict.fromkeys("
 KIND_NAMES = ("prose", "heading", "list", "table", "article", "frame", "run", "box")
 
 
+class Silent:
+    """An open silent element: what there was before it. `before` are its pieces, once they are a run of their own."""
+
+    __slots__ = ("name", "nodes", "depth", "inline", "pieces", "links", "in_link", "head", "before")
+
+    def __init__(self, *values):
+        self.name, self.nodes, self.depth, self.inline, self.pieces, self.links, self.in_link, self.head = values
+        self.before: list[str] | None = None
+
+
 class Tree:
     """Nodes in page order: parent, tag, features; runs also have their text."""
 
     def __init__(self, page: str):
         self.parent, self.tag, self.words, self.text, self.links = [-1], ["#page"], [()], [None], [0]
         stack, pieces, links, in_link, at, head = [0], [], 0, 0, 0, False
+        silent: list[Silent] = []
+        heard = 0  # how many of them have had their own text left out, as a block began or ended in them
+        inline: list[str] = []  # open inline elements of this block
 
         def flush() -> None:
             nonlocal links
@@ -65,6 +81,41 @@ class Tree:
                 if in_link:
                     links += len(piece.strip())
 
+        def leave_out() -> None:
+            """The text of open silent elements before the first block in them. What an inner one goes back to lacks the outer one's text."""
+            nonlocal links, heard
+            if heard < len(silent):
+                e = silent[heard]
+                del pieces[e.pieces :]
+                links, before = e.links, pieces[:]
+                for e in silent[heard:]:
+                    e.before, e.links = before, links
+                heard = len(silent)
+
+        def end_silent(k: int, whole: bool) -> None:
+            """The k-th and those in it: closed by its own end tag, so that all of it is left out, or as something around it ended."""
+            nonlocal links, in_link, head, heard
+            e = silent[k]
+            if whole:
+                for column in (self.parent, self.tag, self.words, self.text, self.links):
+                    del column[e.nodes :]
+                del stack[e.depth :], inline[e.inline :]
+                in_link, head = e.in_link, e.head
+            if whole and e.before is not None:
+                pieces[:], links = e.before, e.links
+            elif heard <= k:
+                del pieces[e.pieces :]
+                links = e.links
+            del silent[k:]
+            heard = min(heard, k)
+
+        def ended() -> None:
+            """Silent elements end with the element that they are in."""
+            while silent and silent[-1].depth > len(stack):
+                end_silent(len(silent) - 1, False)
+            if not silent:
+                inline.clear()
+
         m = MARKUP.search(page)
         while m:
             text(page[at : m.start()])
@@ -76,26 +127,45 @@ class Tree:
                     if not end and not attributes.endswith("/"):
                         close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
                         at = close.end() if close else len(page)
+                elif name in SILENT:
+                    k = next((k for k in range(len(silent) - 1, -1, -1) if silent[k].name == name), -1)
+                    if k >= 0 and (end or name in ("option", "button")):  # neither of the two holds another of its kind
+                        end_silent(k, bool(end))
+                    if not end and not attributes.endswith("/"):
+                        silent.append(Silent(name, len(self.tag), len(stack), len(inline), len(pieces), links, in_link, head))
                 elif name == "head":
                     head = not end
                 elif name in INLINE:
+                    if not end and name not in VOID:
+                        inline.append(name)
+                    elif end and name in inline:
+                        while inline.pop() != name:
+                            pass
+                        while silent and silent[-1].inline > len(inline):
+                            end_silent(len(silent) - 1, False)
                     if name == "a":
                         in_link = 0 if end else 1
-                    elif name == "br":
+                    elif name == "br" or name in MATH:
                         pieces.append(" ")
                 elif end:
+                    leave_out()
                     flush()
                     in_link = 0
                     for i in range(len(stack) - 1, 0, -1):
                         if self.tag[stack[i]] == name:
                             del stack[i:]
                             break
+                    ended()
                 else:
+                    leave_out()
                     flush()
                     in_link, head = 0, False
+                    least = silent[-1].depth if silent else 1  # what is in a silent element ends nothing around it
                     for x in ENDS.get(name, ("p",)):
-                        while self.tag[stack[-1]] == x:
+                        while len(stack) > least and self.tag[stack[-1]] == x:
                             stack.pop()
+                    if not silent:
+                        inline.clear()
                     words: tuple = ()
                     if attributes.strip("/ "):
                         found = []
@@ -116,6 +186,7 @@ class Tree:
                         stack.append(len(self.tag) - 1)
             m = MARKUP.search(page, at)
         text(page[at:] if not head else "")
+        leave_out()
         flush()
 
     def features(self) -> list[list[str]]:

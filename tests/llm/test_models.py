@@ -72,6 +72,22 @@ def test_pages(spark):
     assert got[0] == got[4] == got[7] == "" and got[3] == "a & b\nc"
 
 
+def test_silent_elements_end_with_their_parents():
+    runs = lambda page: [t for t in html_extract.Tree(page).text if t]
+    article = "<article><h1>Title of it</h1><p>A first sentence here.</p><p>Another.</p></article>"
+    want = ["Title of it", "A first sentence here.", "Another."]
+    assert runs('<form><datalist><option value="a"><option value="b">B</datalist></form>' + article) == want
+    for name in ("button", "svg", "object", "canvas", "audio", "video", "select", "option", "noscript", "template"):
+        assert runs(f"<body><{name} class=x>Gone" + article + "</body>") == want == runs(f"<div><{name}>Gone</div>" + article)
+        assert runs(f"<body><{name}>Gone<b>too</b></{name}>" + article + f"<{name}><div><p>x</p></div></{name}>") == want
+        assert runs(f"<p>One <{name}><div>gone</div></{name}> two.</p>") == ["One two."]
+        assert runs(f"<p><a href=#><{name}>gone</a> stays.</p>")[-1:] == ["stays."]
+    assert runs("<p>See <math><mi>x</mi><mo>=</mo><mn>1</mn></math> there.</p>") == ["See x = 1 there."]
+    assert runs("<script>if (a < b) '<p>no</p>'</script><p>yes</p><textarea><p>no</p></textarea><svg><title>no</title><text>no</text></svg>") == ["yes"]
+    m = html_extract.default_model()
+    assert m.text('<form class=search><input><datalist><option value="a"><option value="b"></datalist></form>' + article) == "\n".join(want)
+
+
 def test_marginals_are_exact():
     """Against the sum over all states of a small tree."""
     from itertools import product
