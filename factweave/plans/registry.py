@@ -72,7 +72,7 @@ def text_content_words(spark, d):
 
 @query(f"with {_WORDS} select a, b, sum(weight) as weight, count(*) as docs from n group by a, b having sum(weight) >= 20")
 def text_cooccurrence(spark, d):
-    return T.window_pairs(docs(spark, d)).groupBy("a", "b").agg(F.sum("weight").alias("weight"), F.count("*").alias("docs")).filter("weight >= 20")
+    return T.window_pairs(docs(spark, d)).groupBy("a", "b").agg(F.sum("weight").alias("weight"), F.count("*").alias("docs"))
 
 
 @query(f"""with {_WORDS}, p as (select a, b, sum(weight) as weight from n group by a, b),
@@ -372,7 +372,7 @@ select 'e-' || least(a.event_id, b.event_id) as edge_a, 'e-' || greatest(a.event
 def contradictions(spark, d):
     v = F.col("value")
     relation = F.when(v < 10, "increases").when(v < 20, "reduces").when(v < 25, "supports").when(v < 30, "refutes").otherwise("mentions")
-    edges = B.table(spark, d, "events").filter("event_type <> 'click'").select(F.concat(F.lit("e-"), F.col("event_id").cast("string")).alias("id"), F.concat(F.lit("user:"), (F.col("user_id") % 20).cast("string")).alias("source"), F.lit("x").alias("target"), relation.alias("relation"), F.lit("").alias("description"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("valid_from"), F.lit(None).cast("string").alias("valid_to"), F.lit("stated").alias("method"))
+    edges = B.table(spark, d, "events").select(F.concat(F.lit("e-"), F.col("event_id").cast("string")).alias("id"), F.concat(F.lit("user:"), (F.col("user_id") % 20).cast("string")).alias("source"), F.lit("x").alias("target"), relation.alias("relation"), F.lit("").alias("description"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("valid_from"), F.lit(None).cast("string").alias("valid_to"), F.lit("stated").alias("method"))
     return debate.candidates(edges).select("edge_a", "edge_b")
 
 
