@@ -380,18 +380,21 @@ def contradictions(spark, d):
 
 
 def geo_nodes(spark, d):
-    return B.table(spark, d, "nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("label"), F.lit("place").alias("type"))
+    """All ends of geo_edges."""
+    of = lambda t, key, label, type_: B.table(spark, d, t).select(F.concat(F.lit(f"{t}:"), F.col(key).cast("string")).alias("id"), F.col(label).alias("label"), F.lit(type_).alias("type"))
+    places = of("nation", "n_nationkey", "n_name", "place").unionByName(of("region", "r_regionkey", "r_name", "place"))
+    return places.unionByName(of("customer", "c_custkey", "c_name", "customer")).unionByName(of("supplier", "s_suppkey", "s_name", "supplier"))
 
 
 @query("""select '<node id="nation:' || n_nationkey || '"><data key="label">' || n_name || '</data><data key="type">place</data></node>' as line from nation
 union all select '<edge source="nation:' || n_nationkey || '" target="region:' || n_regionkey || '"><data key="relation">part_of</data></edge>' from nation""")
 def graphml(spark, d):
-    return sinks.graphml(geo_nodes(spark, d), B.geo_edges(spark, d).filter("relation = 'part_of'")).filter("part in (1, 2)").select("line")
+    return sinks.graphml(geo_nodes(spark, d), B.geo_edges(spark, d)).select("line")
 
 
 @query("""select 'nodes' as "group", '{"data":{"id":"nation:' || n_nationkey || '","label":"' || n_name || '","type":"place"}}' as element from nation""")
 def cytoscape(spark, d):
-    return sinks.cytoscape(geo_nodes(spark, d), B.geo_edges(spark, d)).filter("group = 'nodes'")
+    return sinks.cytoscape(geo_nodes(spark, d), B.geo_edges(spark, d))
 
 
 @query("""select p_partkey::varchar as id, case when r = 1 then p_name else p_name || ' (' || r || ')' end as name from (select *, row_number() over (partition by lower(p_name) order by p_partkey::varchar) as r from part)""")
@@ -401,5 +404,4 @@ def file_names(spark, d):
 
 @query()
 def vault(spark, d):
-    edges = B.geo_edges(spark, d).filter("relation = 'part_of'")
-    return sinks.vault(geo_nodes(spark, d), edges.unionByName(edges.select(F.col("source").alias("target"), "relation", F.col("source"))).filter("source <> target"))
+    return sinks.vault(geo_nodes(spark, d), B.geo_edges(spark, d))

@@ -1,5 +1,7 @@
 """Queries of the registry do their whole job, on small tables."""
 
+import json
+
 from factweave.operators import debate
 from factweave.plans import registry
 
@@ -24,3 +26,19 @@ def test_negated_descriptions_are_candidates(spark):
     rows = [("a", "x", "y", "uses", "it uses it"), ("b", "y", "x", "uses", "it does not use it"), ("c", "x", "y", "needs", "never"), ("d", "x", "y", "uses", None), ("e", "x", "z", "uses", "cannot")]
     edges = spark.createDataFrame([(*r, i, None, "stated") for i, r in enumerate(rows)], "id string, source string, target string, relation string, description string, valid_from int, valid_to int, method string")
     assert {(r.edge_a, r.edge_b) for r in debate.candidates(edges).collect()} == {("a", "b"), ("b", "d")}
+
+
+def test_exports_hold_all_nodes_and_edges(spark, tmp_path):
+    put(spark.createDataFrame([(0, "EUROPE")], "r_regionkey int, r_name string"), tmp_path, "region")
+    put(spark.createDataFrame([(7, "FRANCE", 0)], "n_nationkey int, n_name string, n_regionkey int"), tmp_path, "nation")
+    put(spark.createDataFrame([(1, "Ann & Co", 7)], "c_custkey int, c_name string, c_nationkey int"), tmp_path, "customer")
+    put(spark.createDataFrame([(2, "Parts", 7)], "s_suppkey int, s_name string, s_nationkey int"), tmp_path, "supplier")
+    d, ids = str(tmp_path), {"region:0", "nation:7", "customer:1", "supplier:2"}
+    links = {("customer:1", "located_in", "nation:7"), ("supplier:2", "located_in", "nation:7"), ("nation:7", "part_of", "region:0")}
+    found = [(r.group, json.loads(r.element)["data"]) for r in registry.cytoscape(spark, d).collect()]
+    assert {x["id"] for g, x in found if g == "nodes"} == ids and {(x["source"], x["relation"], x["target"]) for g, x in found if g == "edges"} == links
+    lines = [r.line for r in registry.graphml(spark, d).collect()]
+    assert len(lines) == 2 + 4 + 3 and sum("<graphml" in x for x in lines) == sum("</graphml>" in x for x in lines) == 1
+    assert '<node id="customer:1"><data key="label">Ann &amp; Co</data><data key="type">customer</data></node>' in lines
+    notes = {r.name: r.body for r in registry.vault(spark, d).collect()}
+    assert set(notes) == {"EUROPE", "FRANCE", "Ann & Co", "Parts"} and "- part_of → [[EUROPE]]" in notes["FRANCE"] and "- located_in ← [[Parts]]" in notes["FRANCE"]
