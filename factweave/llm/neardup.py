@@ -7,12 +7,14 @@ each chunk with each one place left out finds all pairs within R. Every found li
 
 Groups of copies never become all their pairs. Equal sets first become one representative. A bucket of equal keys is a star around its
 smallest document, formed in two steps (in each map task, then over tasks), so a key that a third of all documents share reaches its reducer as
-one row a task. The best star link of each document is confirmed and components are formed; components that share buckets are merged by their
-closest members, round by round; then of the documents that share a bucket but not a component,
-every pair within the radius that shares one of its rarest shingles, early enough in both sets (conditions that each link meets), is confirmed or refuted.
+one row a task. The best star link of each document is confirmed and components are formed. What is left are buckets that hold several components. In the task that
+has such a bucket, two bits of each minimum bound the Hamming distance of its members from below; components that come within the radius form a cluster, and only
+the edges of a spanning forest leave the task. The members of a cluster are then settled on their full sets, in a grid of cells over blocks of members: a cell counts the common shingles
+of all its pairs at once and again only the links that join components leave it. So pairs are compared where they meet and rows never grow with the square of a group; what a
+block holds is bounded (`BLOCK_DOCS`, `BLOCK_SHINGLES`), and a bucket of more than `BUCKET` documents is a grid of its own.
 
 Edge cases: null, empty or blank texts have the empty set and link with nothing; a text with fewer words than a shingle is one shingle;
-rows with a null doc_id get no component and are kept; rows that repeat a doc_id link through it; an empty table gives no rows; other columns are ignored.
+rows with a null doc_id get no component and are kept; a doc_id that several rows have is one document that has all their links; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,14 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factweave.llm.util import binaries, coded, materialise, mix, ragged, ship, shuffle_partitions, slices, words
+from factweave.llm.util import binaries, coded, materialise, mix, ragged, release, ship, shuffle_partitions, slices, words
 
 HASHES, CHUNKS, ERRORS = 128, 21, 1
 RADIUS = CHUNKS * (ERRORS + 1) - 1
 #: Key rows in a partition of the join, and documents whose ids are broadcast at most (16 bytes each).
 KEY_ROWS, BROADCAST_IDS = 2_000_000, 1_000_000
-#: Rounds of merging components that share buckets, before what is left is settled pair by pair.
-MERGES = 2
+#: Documents of a bucket that one task compares by sketches; documents and shingles of a cell's side, on average.
+BUCKET, BLOCK_DOCS, BLOCK_SHINGLES = 4096, 256, 200_000
+#: Parts into which the rows of one class of equal sets are dealt.
+SALT = 16
 
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -96,6 +100,11 @@ def signatures(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def planes(sig: np.ndarray) -> np.ndarray:
+    """The lowest and the second bit of all places of each signature. Places that differ in them differ, so they bound the Hamming distance from below."""
+    return np.packbits(np.stack([sig & 1, sig >> 1 & 1], axis=1).astype(np.uint8), axis=2).reshape(len(sig), -1)
+
+
 def sketch(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -104,7 +113,8 @@ def sketch(size: int):
             sets, offsets = shingles(b.column("text"), size)
             raw = memoryview(np.ascontiguousarray(sets)).cast("B")
             ids = [xxh3_128_digest(raw[8 * x : 8 * y]) for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(ids, pa.binary()), binaries(signatures(sets, offsets))], ["doc_id", "n_shingles", "set_id", "sig"])
+            sig = signatures(sets, offsets)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(ids, pa.binary()), binaries(sig), binaries(planes(sig))], ["doc_id", "n_shingles", "set_id", "sig", "planes"])
 
     return run
 
@@ -137,14 +147,26 @@ def runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cut, np.append(cut[1:], len(key))
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about `rows` rows."""
+    held, n = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+            if n >= rows:
+                yield pa.concat_batches(held)
+                held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def emit_keys(dealt: int):
     """(to, key, id, leader): of the documents that share a key in a task only the smallest goes to the key's own partition; the others
     have found their leader and are dealt out evenly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in gathered(batches, 8192):
             ids = b.column("id").to_numpy()
             sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
             key, doc = chunk_keys(sig).ravel().view(np.int64), np.repeat(ids, HASHES)
@@ -204,47 +226,160 @@ def confirm(percent: int):
     return run
 
 
-def cross_pairs(percent: int, block: int = 512):
-    """Pairs (a, b) of different components that share the shingle `key` and can still link: sets are in one order of shingles, so two sets whose first common shingle has
-    `rest` shingles from it on in either can have no more in common than the smaller rest. Blocks keep memory bounded."""
-
-    def out(p: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], ["a", "b"])
+class Forest:
+    """Sets that join: `join` says whether two were apart."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def roots(self) -> np.ndarray:
+        while True:
+            up = self.up[self.up]
+            if (up == self.up).all():
+                return up
+            self.up = up
+
+    def root(self, x: int) -> int:
+        while (y := int(self.up[x])) != x:
+            self.up[x] = x = int(self.up[y])
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def joined(forest: Forest, x: np.ndarray, y: np.ndarray) -> list[int]:
+    """Of the pairs (x, y) of sets the places of those that join two that were apart."""
+    if not len(x):
+        return []
+    r = forest.roots()
+    _, first = np.unique(r[x] * len(r) + r[y], return_index=True)
+    return [i for i in first.tolist() if forest.join(int(x[i]), int(y[i]))]
+
+
+def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (la, lb) that connect the components in each bucket (key, cell) whose members come within RADIUS by their planes. Rows come in order of key and cell."""
+    small = 16
+
+    def within(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        d = p ^ q
+        return np.bitwise_count(d[..., 0] | d[..., 2]).astype(np.int16) + np.bitwise_count(d[..., 1] | d[..., 3]) <= RADIUS
+
+    def bucket(label: np.ndarray, p: np.ndarray) -> Iterator[tuple[int, int]]:
+        names, own = np.unique(label, return_inverse=True)
+        forest, apart = Forest(len(names)), len(names) - 1
+        for i in range(0, len(own), 128):
+            if not apart:
+                return
+            u, v = np.nonzero(within(p[i : i + 128, None], p[None, i:]))
+            x, y = own[i + u], own[i + v]
+            for k in joined(forest, x[x != y], y[x != y]):
+                apart -= 1
+                yield names[x[x != y][k]], names[y[x != y][k]]
+
+    def settle(key, label, p) -> pa.RecordBatch:
+        a, z = runs(key)
+        n = z - a
+        few = np.repeat(n <= small, n)
+        out = [np.zeros((0, 2), np.int64)]
+        for d in range(1, small):
+            i = np.flatnonzero(few[:-d] & (key[d:] == key[:-d]) & (label[d:] != label[:-d])) if len(key) > d else np.zeros(0, np.int64)
+            i = i[within(p[i], p[i + d])]
+            out.append(np.stack([label[i], label[i + d]], axis=1))
+        for k in np.flatnonzero(n > small):
+            if got := list(bucket(label[a[k] : z[k]], p[a[k] : z[k]])):
+                out.append(np.array(got, np.int64))
+        both = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
+
+    rest = None
+    for b in gathered(batches, 1 << 16):
+        key = mix(b.column("key").to_numpy().view(np.uint64) + b.column("cell").to_numpy().astype(np.uint64)) if b.num_rows else None
+        now = [key, b.column("label").to_numpy(), np.frombuffer(b"".join(b.column("planes").to_pylist()), np.uint64).reshape(-1, 4)]
+        now = now if rest is None else [np.concatenate(x) for x in zip(rest, now, strict=True)]
+        cut = runs(now[0])[0][-1]  # the last bucket may go on
+        if cut:
+            yield settle(*(x[:cut] for x in now))
+        rest = [x[cut:] for x in now]
+    if rest is not None:
+        yield settle(*rest)
+
+
+def common(sets: list[np.ndarray], n: int) -> np.ndarray:
+    """How many shingles each of the first n sets has in common with each of the others."""
+    m = len(sets) - n
+    size = np.array([len(x) for x in sets])
+    flat, own = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, own = flat[order], own[order]
+    a, z = runs(flat)
+    left = np.add.reduceat((own < n).astype(np.int64), a)
+    right = (z - a) - left
+    total = np.zeros((n, m), np.int64)
+    # a shingle in many sets is a column of two matrices, one in few is counted pair by pair
+    dense = left * right * 24 > n * m
+    wide = np.flatnonzero(dense)
+    for i in range(0, len(wide), 4096):
+        part = wide[i : i + 4096]
+        each = np.concatenate([np.arange(x, y) for x, y in zip(a[part], z[part], strict=True)])
+        table = np.zeros((len(sets), len(part)), np.float32)
+        table[own[each], np.repeat(np.arange(len(part)), (z - a)[part])] = 1
+        total += (table[:n] @ table[n:].T).astype(np.int64)
+    thin = np.flatnonzero(~dense & (left > 0) & (right > 0))
+    i = 0
+    work = np.cumsum(left[thin] * right[thin])
+    while i < len(thin):
+        j = max(i + 1, int(np.searchsorted(work, (work[i - 1] if i else 0) + (1 << 20))))
+        part = thin[i:j]
+        x = np.concatenate([own[u:v] for u, v in zip(a[part], a[part] + left[part], strict=True)])
+        times = np.repeat(right[part], left[part])
+        begin = np.repeat(a[part] + left[part], left[part])
+        at = np.repeat(begin - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        total += np.bincount(np.repeat(x, times) * m + own[at] - n, minlength=n * m).reshape(n, m)
+        i = j
+    return total
+
+
+def settle_cells(percent: int):
+    """Links (a, b) that join components in each cell(cluster, i, j): members of block i against those of block j, on their full sets. Rows come in order of cells, block i first."""
+
+    def cell(side: np.ndarray, ids: np.ndarray, label: np.ndarray, sets: list[np.ndarray], same: bool) -> list[tuple[int, int]]:
+        n = len(ids) if same else int((side == 0).sum())
+        if not n or (not same and n == len(ids)) or (label == label[0]).all():
+            return []
+        every = [*sets, *sets] if same else sets
+        both = common(every, n)
+        size = np.array([len(x) for x in every])
+        x, y = np.nonzero(100 * both >= percent * (size[:n, None] + size[None, n:] - both))
+        y = y + (0 if same else n)
+        names, own = np.unique(label, return_inverse=True)
+        apart = own[x] != own[y]
+        x, y = x[apart], y[apart]
+        return [(int(ids[x[k]]), int(ids[y[k]])) for k in joined(Forest(len(names)), own[x], own[y])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("key", "id", "label", "n", "rest")
-        got = [[b.column(c).to_numpy() for c in names] for b in batches if b.num_rows]
-        if not got:
-            return
-        key, doc, label, n, rest = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((doc, key))
-        key, doc, label, n, rest = (x[order] for x in (key, doc, label, n, rest))
-        held = np.zeros((0, 2), np.int64)
-        for a, z in zip(*runs(key), strict=True):
-            for i in range(a, z, block):
-                for j in range(i, z, block):
-                    x, y = (slice(v, min(z, v + block)) for v in (i, j))
-                    can = (label[x, None] != label[y]) & ((100 + percent) * np.minimum(rest[x, None], rest[y]) >= percent * (n[x, None] + n[y]))
-                    u, v = np.nonzero(can)
-                    p = np.stack([doc[i + u], doc[j + v]], axis=1)
-                    held = np.concatenate([held, p[p[:, 0] < p[:, 1]]])
-                    if len(held) > 1 << 18:
-                        held = np.unique(held, axis=0)
-                        if len(held) > 1 << 17:
-                            yield out(held)
-                            held = held[:0]
-        yield out(np.unique(held, axis=0))
+        now, held = None, []
 
-    return run
+        def out() -> pa.RecordBatch:
+            side, ids, label, sets = zip(*held, strict=True)
+            got = cell(np.array(side), np.array(ids), np.array(label), list(sets), now[1] == now[2])
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], ["a", "b"])
 
+        for b in batches:
+            names = [b.column(c).to_pylist() for c in ("cluster", "i", "j", "side", "id", "label")]
+            for *at, side, doc, label, x in zip(*names, b.column("set"), strict=True):
+                if now != at and held:
+                    yield out()
+                    held = []
+                now = at
+                held.append((side, doc, label, np.frombuffer(x.as_buffer(), np.uint64).copy()))
+        if held:
+            yield out()
+        release()
 
-def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each shingle of each set; row tells apart the sets of a repeated id."""
-    for b in batches:
-        for i in range(b.num_rows):
-            got = np.frombuffer(b.column("set")[i].as_buffer(), np.int64)
-            row = int(np.bitwise_xor.reduce(got)) if len(got) else 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), x, np.int64)) for x in (b.column("id")[i].as_py(), row, len(got))] + [pa.array(got)], ["id", "row", "n", "key"])
+    return run
 
 
 # --- components --------------------------------------------------------------------------------------------------------------
@@ -279,7 +414,7 @@ class NearDuplicates:
         self.spark, self.size, self.percent = docs.sparkSession, size, percent
         ship(self.spark)
         self.docs = docs.select("doc_id", "text")
-        self.rows = materialise(self.docs.mapInArrow(sketch(size), "doc_id long, n_shingles long, set_id binary, sig binary"), "signatures")
+        self.rows = materialise(self.docs.mapInArrow(sketch(size), "doc_id long, n_shingles long, set_id binary, sig binary, planes binary"), "signatures")
 
     def sets_of(self, ids: DataFrame) -> DataFrame:
         """(id, set) of the full sets, made again from the texts of these ids; a doc_id with several texts has several rows."""
@@ -303,62 +438,56 @@ class NearDuplicates:
         some = self.rows.filter("n_shingles > 0 and doc_id is not null")
         classes = some.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"))
         classes = materialise(classes, "classes")
-        equal = some.select("doc_id", "set_id").join(classes.filter("n > 1"), "set_id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+        parts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("part")
+        equal = some.select("doc_id", "set_id", F.pmod("doc_id", F.lit(SALT)).cast("int").alias("part")).join(classes.filter("n > 1").select("set_id", "id", parts), ["set_id", "part"]).select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
         # sets of three shingles or fewer link with equal sets only; a doc_id with several texts has a signature for each
-        sigs = materialise(some.filter(f"n_shingles * {100 - self.percent} >= {self.percent}").join(classes.select(F.col("id").alias("doc_id"), "set_id"), ["doc_id", "set_id"], "left_semi").select(F.col("doc_id").alias("id"), "sig"), "sigs")
+        sigs = materialise(some.filter(f"n_shingles * {100 - self.percent} >= {self.percent}").join(classes.select(F.col("id").alias("doc_id"), "set_id"), ["doc_id", "set_id"], "left_semi").select(F.col("doc_id").alias("id"), "n_shingles", "sig", "planes"), "sigs")
         n = max(shuffle_partitions(self.spark), sigs.count() * HASHES // KEY_ROWS)
         keys = sigs.mapInArrow(emit_keys(8 * n), "to int, key long, id long, leader long")
         stars = materialise(keys.repartition(n, "to").drop("to").mapInArrow(find_stars, "key long, id long, leader long"), "stars")
         pairs = stars.filter("id <> leader").groupBy(F.col("leader").alias("a"), F.col("id").alias("b")).count().select("a", "b")
-        near = materialise(self.within_radius(pairs, sigs), "near")
+        near = self.within_radius(pairs, sigs)
         # the link of each document that looks best is confirmed first
         best = near.groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a")).select("a", "b")
         links = self.confirmed(materialise(best, "best"))
-        labels = components(links)
         members = stars.select("key", "id").unionByName(stars.filter("id <> leader").select("key", F.col("leader").alias("id"))).distinct()
-        for turn in range(MERGES):
-            members = materialise(self.mixed(members, labels), "mixed")
-            if members.isEmpty():
-                break
-            new = self.confirmed(materialise(self.closest(members, sigs, turn), "closest"))
-            if new.isEmpty():
-                break
-            links = materialise(links.unionByName(new), "links")
-            labels = components(links)
-            members = members.select("key", "id")
-        # documents left that share a bucket but no component; of their pairs only those that share one of their rarest shingles can link
-        left = materialise(self.mixed(members.select("key", "id"), labels).select("id", "label").distinct(), "left")
-        rest = self.rarest(left).join(left, "id").repartition(n, "key").mapInArrow(cross_pairs(self.percent), "a long, b long").distinct()
-        open_ = materialise(self.within_radius(rest, sigs).select("a", "b"), "open")
-        if not open_.isEmpty():
-            links = links.unionByName(self.confirmed(open_))
+        left = materialise(self.mixed(members, components(links)), "mixed")
+        clusters = self.clusters(left, sigs, n)
+        links = links.unionByName(self.settled(left.select("id", "label").distinct().join(clusters, "label"), sigs, n))
         return components(links.unionByName(equal))
 
     def mixed(self, members: DataFrame, labels: DataFrame) -> DataFrame:
-        """(key, id, label) of members(key, id) whose bucket holds more than one component."""
+        """(key, n, id, label) of members(key, id) whose bucket of n holds more than one component."""
         known = members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-        keys = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-        return known.join(keys, "key", "left_semi")
-
-    def rarest(self, ids: DataFrame) -> DataFrame:
-        """(key, id, n, rest) of the shingles of which a set must share one with each set that it links with: the n - ceil(n * percent / 100) + 1 that the fewest of
-        these documents have (ties by the hash), without those that only one has. Holds for any order of shingles that is the same for all."""
-        each = self.sets_of(ids.select("id")).mapInArrow(spread, "id long, row long, n long, key long")
-        often = each.groupBy("key").agg(F.count("*").alias("often"))
-        place = F.row_number().over(Window.partitionBy("id", "row").orderBy("often", "key"))
-        ranked = each.join(often, "key").withColumn("place", place)
-        return ranked.filter((F.col("place") <= F.col("n") - F.floor((F.col("n") * self.percent + 99) / 100) + 1) & (F.col("often") > 1)).select("key", "id", "n", (F.col("n") - F.col("place") + 1).alias("rest"))
-
-    def closest(self, members: DataFrame, sigs: DataFrame, turn: int) -> DataFrame:
-        """One pair (a, b) for each two components that meet: in a bucket one member of the first component (by label) stands against one of each
-        other; of the pairs that two components get from all buckets the one that agrees most stays. Large components that a few refuted links keep apart so merge before
-        their members are compared one by one."""
-        each = members.groupBy("key", "label").agg(F.min_by("id", F.xxhash64("id", "key", F.lit(turn))).alias("id"))
-        first = each.groupBy("key").agg(F.min(F.struct("label", "id")).alias("f")).select("key", F.col("f.label").alias("la"), F.col("f.id").alias("a"))
-        met = each.join(first, "key").filter("label <> la").groupBy("a", F.col("id").alias("b")).agg(F.first("la").alias("la"), F.first("label").alias("lb"))
-        met = materialise(met, "met")
-        near = self.within_radius(met.select("a", "b"), sigs).join(met, ["a", "b"])
-        return near.groupBy("la", "lb").agg(F.max(F.struct("same", "a", "b")).alias("best")).select("best.a", "best.b")
+        keys = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("key", "n")
+        return known.join(keys, "key").select("key", "n", "id", "label")
+
+    def clusters(self, left: DataFrame, sigs: DataFrame, tasks: int) -> DataFrame:
+        """(label, cluster): components that reach each other through buckets in which members come within the radius."""
+        block = F.pmod(F.xxhash64("id"), F.col("side"))
+        cells = left.withColumn("side", F.ceil(F.col("n") / BUCKET)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("side") - 1)))
+        cells = cells.select("key", (F.least(block, "j") * F.col("side") + F.greatest(block, "j")).alias("cell"), "id", "label")
+        met = cells.join(sigs.select("id", "planes"), "id").repartition(tasks, "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(meet, "a long, b long")
+        return components(materialise(met.distinct(), "met"), "clusters").select(F.col("id").alias("label"), F.col("label").alias("cluster"))
+
+    def settled(self, docs: DataFrame, sigs: DataFrame, tasks: int) -> DataFrame:
+        """The links that join components among docs(id, label, cluster). A component with more members than a block fills blocks of its own, which aren't compared with each other."""
+        docs = materialise(docs.join(sigs.groupBy("id").agg(F.sum("n_shingles").alias("n")), "id"), "clustered")
+        blocks = F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES))
+        own = docs.groupBy("cluster", "label").agg(blocks.alias("own"), F.count("*").alias("docs"), F.sum("n").alias("n"))
+        of = Window.partitionBy("cluster").orderBy("label").rowsBetween(Window.unboundedPreceding, -1)
+        large = own.filter("own > 1").withColumn("first", F.coalesce(F.sum("own").over(of), F.lit(0)))
+        small = own.filter("own = 1").groupBy("cluster").agg(F.ceil(F.greatest(F.sum("docs") / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES)).alias("small"))
+        total = materialise(own.groupBy("cluster").agg(F.sum(F.when(F.col("own") > 1, F.col("own")).otherwise(0)).alias("large")).join(small, "cluster", "left").select("cluster", "large", F.coalesce("small", F.lit(0)).alias("small")), "grids")
+        placed = docs.join(materialise(large.select("cluster", "label", "own", "first"), "large"), ["cluster", "label"], "left").join(total, "cluster")
+        block = F.when(F.col("own").isNotNull(), F.col("first") + F.pmod(F.xxhash64("id"), F.col("own"))).otherwise(F.col("large") + F.pmod(F.xxhash64("label", F.lit(1)), F.col("small")))
+        # blocks of one large component are skipped against each other
+        others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("large") + F.col("small") - 1), lambda j: F.col("own").isNull() | (j < F.col("first")) | (j >= F.col("first") + F.col("own")))
+        cells = placed.withColumn("block", block).select("id", "label", "cluster", "block", F.explode(others).alias("other"))
+        cells = materialise(cells.select("id", "label", "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side")), "cells")
+        sets = self.sets_of(docs.select("id"))
+        by = ("cluster", "i", "j")
+        return materialise(cells.join(sets, "id").repartition(tasks, *by).sortWithinPartitions(*by, "side").mapInArrow(settle_cells(self.percent), "a long, b long"), "settled")
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id, kept for every row."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -16,10 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that Python code handles at once; a longer text makes a slice of its own.
 SLICE_BYTES = 4 << 20
+#: Rows of an Arrow batch, unless the session says otherwise: the JVM and the worker each hold a batch of whole texts.
+ARROW_ROWS = 2000
 #: White space that separates words: [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
 
 _own_dirs: dict[str, str] = {}
+#: glibc's malloc_trim, where there is one.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _shipped: set[str] = set()
 
 
@@ -47,8 +52,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each application."""
+    """Sends this package to the executors, once for each application, and keeps Arrow batches small where the session leaves them at Spark's default."""
     app = spark.sparkContext.applicationId
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     if app in _shipped:
         return
     top = Path(__file__).resolve().parents[1]
@@ -65,7 +72,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches whose texts take about `limit` bytes; a text is never cut."""
+    """The same rows in batches whose texts take about `limit` bytes, small ones put together; a text is never cut. At the end the worker gives its free memory back, since it
+    lives on into later stages."""
+    held: list[pa.RecordBatch] = []
+    size = 0
     for b in batches:
         if not b.num_rows:
             continue
@@ -74,9 +84,27 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
         at = 0
         while at < b.num_rows:
             base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
-            yield b.slice(at, to - at)
-            at = to
+            to = int(np.searchsorted(ends, base + limit - size, side="right"))
+            if to <= at and not held:
+                to = at + 1
+            if to > at:
+                held.append(b.slice(at, to - at))
+                size += int(ends[to - 1] - base)
+                at = to
+            if at < b.num_rows:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+    held = []
+    release()
+
+
+def release() -> None:
+    """Gives memory that Arrow and the C library hold unused back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
