@@ -4,7 +4,8 @@ The range of code points that a word is written in narrows the candidate languag
 trigrams (log-likelihood against the mean of all languages); Viterbi over a text's words, with a penalty for each switch, gives spans of
 languages. A text's language is the one with most letters, its score the share of these letters.
 
-Training takes at most `per_language` texts of at most `max_chars` characters for each language, the first in the order of a hash of doc_id.
+Training takes at most `per_language` texts of at most `max_chars` characters for each language, the first in the order of a hash of doc_id (ties by doc_id; rows that repeat a doc_id
+count on their own).
 
 Edge cases: a null text or one without any letter is 'und' with score 0; null doc_ids aren't held out and never train; words in a script that no
 language was seen in stay without a language, and a text of such words alone gets the first language with score 0; without any labelled row
@@ -106,10 +107,15 @@ def held_out(doc_id: Column, divisor: int, remainder: int) -> Column:
 
 
 def training_rows(docs: DataFrame, per_language: int, max_chars: int) -> DataFrame:
-    """(lang, text) of the sample; its ids are ranked without their texts, each task keeping only its own first ones."""
+    """(lang, text) of the sample. A language's count of texts gives the share of hash values below which its first ones surely lie, so only a little more than the sample is ranked,
+    whatever the number of texts and tasks."""
+    ranked = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
     fit = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 4, 2) & F.length("text").between(1, max_chars))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = fit.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_language).select("doc_id", "lang").distinct()
+    need = per_language + 8 * per_language**0.5 + 32
+    below = F.broadcast(materialise(fit.groupBy("lang").agg((F.lit(float(1 << 40)) * need / F.count("*")).alias("below")), "shares"))
+    few = fit.select("doc_id", "lang", ranked.alias("h")).join(below, "lang").filter("h < below")
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    chosen = few.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_language).select("doc_id", "lang").distinct()
     return fit.join(F.broadcast(materialise(chosen, "sample")), ["doc_id", "lang"], "left_semi").select("lang", "text")
 
 
@@ -123,11 +129,12 @@ def viterbi(score: np.ndarray, offsets: np.ndarray, switch: np.float32 = SWITCH)
     n = np.diff(offsets)
     order = np.argsort(-n, kind="stable")
     begin, n = offsets[:-1][order], n[order]
-    out = np.zeros(len(score), np.uint8)
+    state_type = np.min_scalar_type(max(1, score.shape[1] - 1))
+    out = np.zeros(len(score), state_type)
     if not len(n) or not n[0]:
         return out
     active = np.searchsorted(-n, -np.arange(n[0]), side="left")  # texts with more than t words
-    stay, best = np.empty(score.shape, bool), np.empty(len(score), np.uint8)
+    stay, best = np.empty(score.shape, bool), np.empty(len(score), state_type)
     v = score[begin].copy() if n[-1] else np.where((n > 0)[:, None], score[np.minimum(begin, len(score) - 1)], 0)
     for t in range(1, n[0]):
         k = active[t]
@@ -190,7 +197,7 @@ def identify(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, limit=12 << 20):
+        for b in slices(batches, limit=2 << 20):
             names, score, found = identify_batch(b.column("text"), shared.value)
             cols = {"doc_id": b.column("doc_id"), "lang_pred": pa.array(names, pa.string()), "score": pa.array(score, pa.float64())}
             if spans:
@@ -214,7 +221,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.35) -> DataF
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, limit=12 << 20):
+        for b in slices(batches, limit=2 << 20):
             names, score, _ = identify_batch(b.column("text"), shared.value)
             yield b.filter(pa.array([n != "und" and s >= least for n, s in zip(names, score, strict=True)], pa.bool_()))
 
