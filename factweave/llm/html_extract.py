@@ -8,7 +8,7 @@ The potentials come from labelled pages that `labelled_pages` makes: layouts wit
 or menu, header, footer, sidebar, notice, advert, form or comment.
 
 Edge cases: null and empty pages, and pages without content, give the empty text; broken markup (unclosed tags and comments, stray end
-tags, bare '<') is parsed as far as it goes, and only script, style, iframe, textarea and title without an end tag take the rest of the page; null page_id or url stay; repeated rows each give a row; an empty table gives no rows; other columns are ignored.
+tags, bare '<') is parsed as far as it goes, and only script, style, iframe, textarea and title without an end tag take the rest of the page; what is in <head> or hidden (the hidden attribute, display: none, visibility: hidden) is no text; null page_id or url stay; repeated rows each give a row; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from factweave.llm.util import ship, slices
 
 MARKUP = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Attributes that may hide an element; what is hidden is no text of the page.
+MAY_HIDE = re.compile(r"hidden|display|visibility", re.I)
+UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 TOKEN = re.compile(r"[a-z]+|[A-Z][a-z]*")
 #: Elements whose contents aren't markup: they end at their end tag only, as HTML has it.
 RAW = frozenset("script style iframe textarea title".split())
@@ -37,10 +40,19 @@ INLINE = MATH | frozenset("a abbr acronym b bdi bdo big cite code data del dfn e
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Start tags before which an open element of these names ends.
 ENDS = {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "thead": ("tr", "td", "th"), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
-KINDS = {**dict.fromkeys("p blockquote pre".split(), "prose"), **dict.fromkeys("h1 h2 h3 h4 h5 h6 hgroup".split(), "heading"), **dict.fromkeys("ul ol li dl dt dd".split(), "list"), **dict.fromkeys("table thead tbody tfoot tr td th caption".split(), "table"), **dict.fromkeys("article main".split(), "article"), **dict.fromkeys("nav footer header aside form dialog menu".split(), "frame"), "#": "run"}
+KINDS = {**dict.fromkeys("p blockquote pre figure figcaption".split(), "prose"), **dict.fromkeys("h1 h2 h3 h4 h5 h6 hgroup".split(), "heading"), **dict.fromkeys("ul ol li dl dt dd".split(), "list"), **dict.fromkeys("table thead tbody tfoot tr td th caption".split(), "table"), **dict.fromkeys("article main".split(), "article"), **dict.fromkeys("nav footer header aside form dialog menu".split(), "frame"), "#": "run"}
 KIND_NAMES = ("prose", "heading", "list", "table", "article", "frame", "run", "box")
 
 
+def attribute_values(attributes: str) -> Iterator[tuple[str, str]]:
+    for m in ATTRIBUTE.finditer(attributes):
+        yield m[1].lower(), m[2] or m[3] or m[4] or ""
+
+
+def hides(attributes: str) -> bool:
+    return bool(MAY_HIDE.search(attributes)) and any(k == "hidden" and v.lower() != "until-found" or k == "style" and UNSEEN.search(v) for k, v in attribute_values(attributes))
+
+
 class Silent:
     """An open silent element: what there was before it. `before` are its pieces, once they are a run of their own."""
 
@@ -56,16 +68,31 @@ class Tree:
 
     def __init__(self, page: str):
         self.parent, self.tag, self.words, self.text, self.links = [-1], ["#page"], [()], [None], [0]
+        self.unseen = [False]  # hidden, or inside something hidden
         stack, pieces, links, in_link, at, head = [0], [], 0, 0, 0, False
         silent: list[Silent] = []
         heard = 0  # how many of them have had their own text left out, as a block began or ended in them
         inline: list[str] = []  # open inline elements of this block
+        opened: dict[str, int] = {}  # how many elements of a name are open, so that a stray end tag costs nothing
+        lines: dict[str, int] = {}  # the same of inline elements
+        unheard: dict[str, int] = {}  # and of silent ones
+
+        def cut(depth: int) -> None:
+            for i in stack[depth:]:
+                opened[self.tag[i]] -= 1
+            del stack[depth:]
+
+        def close_inline(depth: int) -> None:
+            for x in inline[depth:]:
+                lines[x] -= 1
+            del inline[depth:]
 
         def flush() -> None:
             nonlocal links
             if pieces:
                 run = " ".join(unescape("".join(pieces)).split())
                 if run:
+                    self.unseen.append(self.unseen[stack[-1]])
                     self.parent.append(stack[-1])
                     self.tag.append("#")
                     self.words.append(())
@@ -97,28 +124,35 @@ class Tree:
             nonlocal links, in_link, head, heard
             e = silent[k]
             if whole:
-                for column in (self.parent, self.tag, self.words, self.text, self.links):
+                cut(e.depth)
+                close_inline(e.inline)
+                for column in (self.parent, self.tag, self.words, self.text, self.links, self.unseen):
                     del column[e.nodes :]
-                del stack[e.depth :], inline[e.inline :]
                 in_link, head = e.in_link, e.head
             if whole and e.before is not None:
                 pieces[:], links = e.before, e.links
             elif heard <= k:
                 del pieces[e.pieces :]
                 links = e.links
+            for x in silent[k:]:
+                unheard[x.name] -= 1
             del silent[k:]
             heard = min(heard, k)
 
+        def begin_silent(name: str) -> None:
+            unheard[name] = unheard.get(name, 0) + 1
+            silent.append(Silent(name, len(self.tag), len(stack), len(inline), len(pieces), links, in_link, head))
+
         def ended() -> None:
             """Silent elements end with the element that they are in."""
             while silent and silent[-1].depth > len(stack):
                 end_silent(len(silent) - 1, False)
             if not silent:
-                inline.clear()
+                close_inline(0)
 
         m = MARKUP.search(page)
         while m:
-            text(page[at : m.start()])
+            text(page[at : m.start()] if not head else "")
             at = m.end()
             name = (m[2] or m[5] or "").lower()
             if name:
@@ -128,19 +162,21 @@ class Tree:
                         close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
                         at = close.end() if close else len(page)
                 elif name in SILENT:
-                    k = next((k for k in range(len(silent) - 1, -1, -1) if silent[k].name == name), -1)
+                    k = next((k for k in range(len(silent) - 1, -1, -1) if silent[k].name == name), -1) if unheard.get(name) else -1
                     if k >= 0 and (end or name in ("option", "button")):  # neither of the two holds another of its kind
                         end_silent(k, bool(end))
                     if not end and not attributes.endswith("/"):
-                        silent.append(Silent(name, len(self.tag), len(stack), len(inline), len(pieces), links, in_link, head))
+                        begin_silent(name)
                 elif name == "head":
                     head = not end
                 elif name in INLINE:
                     if not end and name not in VOID:
                         inline.append(name)
-                    elif end and name in inline:
-                        while inline.pop() != name:
-                            pass
+                        lines[name] = lines.get(name, 0) + 1
+                        if hides(attributes):  # left out up to its end
+                            begin_silent("#hidden")
+                    elif end and lines.get(name):
+                        close_inline(len(inline) - 1 - inline[::-1].index(name))
                         while silent and silent[-1].inline > len(inline):
                             end_silent(len(silent) - 1, False)
                     if name == "a":
@@ -151,10 +187,8 @@ class Tree:
                     leave_out()
                     flush()
                     in_link = 0
-                    for i in range(len(stack) - 1, 0, -1):
-                        if self.tag[stack[i]] == name:
-                            del stack[i:]
-                            break
+                    if opened.get(name):
+                        cut(next(i for i in range(len(stack) - 1, 0, -1) if self.tag[stack[i]] == name))
                     ended()
                 else:
                     leave_out()
@@ -163,26 +197,24 @@ class Tree:
                     least = silent[-1].depth if silent else 1  # what is in a silent element ends nothing around it
                     for x in ENDS.get(name, ("p",)):
                         while len(stack) > least and self.tag[stack[-1]] == x:
-                            stack.pop()
+                            cut(len(stack) - 1)
                     if not silent:
-                        inline.clear()
+                        close_inline(0)
                     words: tuple = ()
                     if attributes.strip("/ "):
                         found = []
-                        for k, *v in ATTRIBUTE.findall(attributes):
-                            value = next((x for x in v if x), "")
-                            k = k.lower()
-                            if k in ("hidden", "aria-hidden") and value.lower() != "false" or k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                                found.append("hidden")
-                            elif k in ("class", "id", "role"):
+                        for k, value in attribute_values(attributes):
+                            if k in ("class", "id", "role"):
                                 found += [t.lower() for t in TOKEN.findall(value)]
                         words = tuple(dict.fromkeys(found))
+                    self.unseen.append(self.unseen[stack[-1]] or hides(attributes))
                     self.parent.append(stack[-1])
                     self.tag.append(name)
                     self.words.append(words)
                     self.text.append(None)
                     self.links.append(0)
                     if name not in VOID:
+                        opened[name] = opened.get(name, 0) + 1
                         stack.append(len(self.tag) - 1)
             m = MARKUP.search(page, at)
         text(page[at:] if not head else "")
@@ -245,7 +277,7 @@ class Model:
 
     def text(self, page: str) -> str:
         tree = Tree(page)
-        return "\n".join(t for t, p in zip(tree.text, self.marginals(tree), strict=True) if t is not None and p > 0.5)
+        return "\n".join(t for t, p, gone in zip(tree.text, self.marginals(tree), tree.unseen, strict=True) if t is not None and p > 0.5 and not gone)
 
 
 # --- labelled pages ----------------------------------------------------------------------------------------------------------
@@ -313,6 +345,8 @@ def labelled_pages(n: int = 600, seed: int = 11) -> Iterator[str]:
             return f"<p>{text}</p>" if r.random() < 0.8 else f"<p><b>{text}<br>"
         if x < 0.82:
             return f"<h{(k := r.randint(2, 4))}>{MARK}{say(1, 8, 0.2)}</h{k}>"
+        if x > 0.99:
+            return f"<figure><img src=a.png><figcaption>{MARK}{say(2, 20, 0.5)}</figcaption></figure>"
         if x < 0.88:
             return f"<ul>{''.join(f'<li>{MARK}{say(2, 20, 0.6)}</li>' for _ in range(r.randint(2, 5)))}</ul>"
         if x < 0.92:
