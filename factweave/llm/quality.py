@@ -10,11 +10,14 @@ and so reject nothing beyond the base rules.
 
 Edge cases: a null or empty text has no words (all counts 0, base_failed true); null doc_id or lang are kept as they are, a null
 lang is the stratum 'und'; repeated rows each give a row; an empty table gives no rows; columns other than doc_id, text, lang are ignored;
-labels that are null don't vote; a doc_id with several labels votes once per distinct label row.
+labels that are null don't vote; a doc_id votes once however many label rows and documents have it, with the largest of its documents' values (by language, then rule), and not at all if its
+labels disagree. The bound takes the labelled documents as independent: near copies under different doc_ids vote each, so label a corpus after near-duplicates are gone.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,18 +92,37 @@ def rates(df: DataFrame) -> DataFrame:
     })
 
 
+def log_factorial(n: Column) -> Column:
+    """ln(n!) by Stirling's series from 20 on; below, the sum itself."""
+    x = n.cast("double") + 1
+    series = (x - 0.5) * F.log(x) - x + F.lit(0.9189385332046727) + 1 / (12 * x) - 1 / (360 * F.pow(x, 3)) + 1 / (1260 * F.pow(x, 5))
+    small, total = F.lit(0.0), 0.0
+    for i in range(2, 20):
+        total += math.log(i)
+        small = F.when(n == i, F.lit(total)).otherwise(small)
+    return F.when(n >= 20, series).otherwise(small)
+
+
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
-    """P(Bin(n, p) <= k), exact up to rounding: the largest term is kept in logarithms, the others by their ratios to it."""
+    """P(Bin(n, p) <= k), exact up to rounding. Up to the mean the terms are summed downward from the one at k, over it those above k are summed upward and taken from 1, each by its ratio
+    to the one before; 14 standard deviations away they are under e^-90 of the first, so about sqrt(n) terms are made whatever k is."""
     q = 1.0 - p
-    # log of the term at k by summing the ratios upward from (1-p)^n
-    start = F.struct((n * F.lit(q).cast("double") * 0 + n * F.log(F.lit(q))).alias("t"), F.lit(0.0).alias("s"))
+    low, far = k <= n * F.lit(p), F.ceil(14 * F.sqrt(n * F.lit(p * q)) + 50).cast("long")
+    first = F.when(low, k).otherwise(k + 1)
+    at = F.exp(log_factorial(n) - log_factorial(first) - log_factorial(n - first) + first * F.lit(math.log(p)) + (n - first) * F.lit(math.log(q)))
+    one, none = F.lit(1).cast("long"), F.array().cast("array<long>")
+    start = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
+
+    def add(ratio):
+        def step(a: Column, i: Column) -> Column:
+            t = a["t"] * ratio(i)
+            return F.struct(t.alias("t"), (a["s"] + t).alias("s"))
 
-    def step(a: Column, i: Column) -> Column:
-        t = a["t"] + F.log((n - i + 1).cast("double") / i) + F.log(F.lit(p / q))
-        return F.struct(t.alias("t"), (a["s"] + F.exp(t)).alias("s"))
+        return step
 
-    more = F.aggregate(F.when(k >= 1, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<long>")), start, step, lambda a: a["s"])
-    return F.least(F.lit(1.0), F.exp(n * F.log(F.lit(q))) + more)
+    down = F.aggregate(F.when(k >= 1, F.sequence(k, F.greatest(one, k - far), -one)).otherwise(none), start, add(lambda i: i / (n - i + 1) * F.lit(q / p)), lambda a: a["s"])
+    up = F.aggregate(F.when(k + 2 <= n, F.sequence(k + 2, F.least(n, k + far), one)).otherwise(none), start, add(lambda i: (n - i + 1) / i * F.lit(p / q)), lambda a: a["s"])
+    return F.when(k >= n, F.lit(1.0)).when(low, F.least(F.lit(1.0), at * down)).otherwise(F.greatest(F.lit(0.0), 1 - at * up))
 
 
 def certify(labelled: DataFrame, alpha: float, delta: float) -> DataFrame:
@@ -125,8 +147,9 @@ def certify(labelled: DataFrame, alpha: float, delta: float) -> DataFrame:
 
 def rules_from(features_: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
     """Certified cutoffs from the labelled documents among those with features; only documents that pass the base rules vote."""
-    votes = labels.filter("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("long").alias("good"))
-    return certify(rates(features_.filter(~base_failed())).join(votes, "doc_id"), alpha, delta)
+    votes = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("long").alias("good"), F.max("quality").alias("most")).filter("good = most")
+    each = rates(features_.filter(~base_failed())).join(votes, "doc_id").groupBy("doc_id").agg(F.max(F.struct("lang", "good", *RULES)).alias("v"))
+    return certify(each.select("v.*"), alpha, delta)
 
 
 def apply_rules(features_: DataFrame, cutoffs: DataFrame) -> DataFrame:
