@@ -39,8 +39,13 @@ def n_words(text: Column) -> Column:
     return F.when(full == "", 0).otherwise(F.size(F.split(full, SPACE))).cast("long")
 
 
+def source_key(source: Column) -> Column:
+    """'=' and the source; a null source, which is one of its own, is '-'."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("-"))
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), n_words(F.col("text")).alias("n_tokens"), hash60(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"))
+    return docs.select("doc_id", source_key(F.col("source")).alias("source"), n_words(F.col("text")).alias("n_tokens"), hash60(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"))
 
 
 def bisect(shares: DataFrame, meets: Column) -> float:
@@ -113,7 +118,7 @@ def mix(docs: DataFrame, **targets) -> DataFrame:
     """The rows of docs, all columns, each as often as it is taken."""
     cuts = plan(materialise(sized(docs), "sized"), **targets)
     # the table's own columns stay under one name, so that none clashes with those made here
-    rows = docs.select(F.struct("*").alias("row")).withColumns({"source": F.coalesce("row.source", F.lit("")), "key": hash60(F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")))})
+    rows = docs.select(F.struct("*").alias("row")).withColumns({"source": source_key(F.col("row.source")), "key": hash60(F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")))})
     out = placed(joined(rows, cuts)).select("row", copies()).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return out.select("row.*")
 
@@ -121,13 +126,13 @@ def mix(docs: DataFrame, **targets) -> DataFrame:
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = materialise(sized(spark.read.parquet(f"{sf_dir}/documents.parquet")), "sized")
     at = placed(joined(found, plan(found)))
-    return at.select("doc_id", "source", "n_tokens", F.round("weight", 6).alias("weight"), copies(), "block_at", "doc_at")
+    return at.select("doc_id", F.when(F.col("source") != "-", F.substring("source", 2, 1 << 30)).alias("source"), "n_tokens", F.round("weight", 6).alias("weight"), copies(), "block_at", "doc_at")
 
 
 #: Twenty-odd sources: bisection by a recursive query, windows over whole sources.
 OP3_SQL = f"""
 with recursive d as (
-  select doc_id, coalesce(source, '') as source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as n_tokens,
+  select doc_id, coalesce('=' || source, '-') as source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as n_tokens,
     ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint as key from documents
 ), s as (
   select source, sum(n_tokens)::bigint as tokens, count(*) as docs from d group by source
@@ -162,5 +167,5 @@ with recursive d as (
 ), u as (
   select *, sum(n_tokens) over (partition by source order by block_at, doc_at) as upto from a
 )
-select doc_id, source, n_tokens, round(weight, 6) as weight, (passes + (upto <= rest)::bigint)::bigint as copies, block_at, doc_at from u
+select doc_id, case when source <> '-' then substr(source, 2) end as source, n_tokens, round(weight, 6) as weight, (passes + (upto <= rest)::bigint)::bigint as copies, block_at, doc_at from u
 """
