@@ -4,9 +4,12 @@ Texts and items are lower-cased and runs of white space become one blank. An ite
 pieces, at least one piece is found unchanged in any passage within the budget. An Aho-Corasick automaton finds all pieces in one
 pass over a text; each hit gives a window, and Myers' bit-parallel distance decides whether the item lies in it within k edits. Windows of one item that overlap are tried as one.
 
-The items are sent to all tasks, as long as they take `MAX_ITEM_BYTES` at most; a larger benchmark is worked through in blocks of that size.
+Items of fewer than `SHORT` characters have too little text for edits: they must stand in a text as they are, between blanks or its ends.
 
-Edge cases: null or blank texts match nothing; null, empty or very short items (under `MIN_CHARS` characters) can't be told from chance and match nothing; items that repeat are reported under
+The items go to all tasks in blocks of `MAX_ITEM_BYTES`. A benchmark of several blocks is worked through one block after another: each block's hits are written before the next block is sent, so
+neither the driver nor a worker holds more than one.
+
+Edge cases: null or blank texts match nothing; null and blank items match nothing; items that repeat are reported under
 each id; null ids are kept in documents and ignored in items; repeated rows each give a row; empty tables give no matches; other columns are ignored.
 """
 
@@ -18,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm.util import ship, slices
+from factweave.llm.util import materialise, ship, slices
 
-ERRORS, MIN_CHARS, MAX_ITEM_BYTES = 6, 24, 8 << 20
+ERRORS, SHORT, MAX_ITEM_BYTES = 6, 24, 8 << 20
 
 
 def normal(text: str | None) -> str:
@@ -75,13 +78,16 @@ class Matcher:
         found: dict[str, list[int]] = {}
         for i, text in items:
             t = normal(text)
-            if i is not None and len(t) >= MIN_CHARS:
+            if i is not None and t:
                 found.setdefault(t, []).append(i)
         self.texts, self.ids = list(found), list(found.values())
         self.k = [budget(len(t), errors) for t in self.texts]
         self.myers = [Myers(t) for t in self.texts]
         where: dict[str, list[tuple[int, int]]] = {}
         for n, t in enumerate(self.texts):
+            if len(t) < SHORT:  # place -1: the whole item with the blanks around it
+                where.setdefault(f" {t} ", []).append((n, -1))
+                continue
             for at, p in pieces(t, self.k[n]):
                 where.setdefault(p, []).append((n, at))
         self.automaton = ahocorasick.Automaton()
@@ -95,8 +101,13 @@ class Matcher:
         if not self.texts or not t:
             return []
         windows: dict[int, list[list[int]]] = {}
+        whole: set[int] = set()
+        t = f" {t} "
         for end, (size, places) in self.automaton.iter(t):
             for n, at in places:
+                if at < 0:
+                    whole.add(n)
+                    continue
                 k = self.k[n]
                 lo = max(0, end + 1 - size - at - k)
                 hi = min(len(t), lo + len(self.texts[n]) + 2 * k)
@@ -106,7 +117,7 @@ class Matcher:
                     own[-1] = [min(lo, own[-1][0]), max(hi, own[-1][1])]
                 else:
                     own.append([lo, hi])
-        out = []
+        out = [(i, 0) for n in whole for i in self.ids[n]]
         for n, own in windows.items():
             k, best = self.k[n], self.k[n] + 1
             for lo, hi in own:
@@ -131,32 +142,64 @@ def item_blocks(benchmark: DataFrame, errors: int) -> Iterator[Matcher]:
     yield Matcher(block, errors)
 
 
-def shared_items(benchmark: DataFrame, errors: int) -> list:
-    ship(benchmark.sparkSession)
-    return [benchmark.sparkSession.sparkContext.broadcast(m) for m in item_blocks(benchmark, errors)]
+def by_blocks(benchmark: DataFrame, errors: int) -> Iterator[tuple[object, bool]]:
+    """Each block's matcher, shared with all tasks until the next one is asked for, and whether it is the only one."""
+    spark = benchmark.sparkSession
+    ship(spark)
+    blocks = item_blocks(benchmark, errors)
+    now, after = next(blocks), next(blocks, None)
+    only = after is None
+    while now is not None:
+        shared = spark.sparkContext.broadcast(now)
+        yield shared, only
+        if not only:
+            shared.unpersist()
+        now, after = after, next(blocks, None)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, errors: int = ERRORS) -> DataFrame:
-    """doc_id and items (ids of the items found, ascending) for each row of docs(doc_id, text)."""
-    matchers = shared_items(benchmark, errors)
+def hits(shared, all_rows: bool):
+    """(doc_id, text's hash, items) of rows, or of those with items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            items = [sorted({i for m in matchers for i, _ in m.value.matches(t)}) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(items, pa.list_(pa.int64()))], ["doc_id", "items"])
+            items = [sorted({i for i, _ in shared.value.matches(t)}) for t in b.column("text").to_pylist()]
+            out = pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(items, pa.list_(pa.int64()))], ["doc_id", "h", "items"])
+            yield out if all_rows else out.filter(pa.array([bool(x) for x in items], pa.bool_()))
+
+    return run
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, items array<long>")
+def find(docs: DataFrame, benchmark: DataFrame, errors: int = ERRORS) -> DataFrame:
+    """doc_id and items (ids of the items found, ascending) for each row of docs(doc_id, text)."""
+    rows, found = docs.select("doc_id", "text", F.xxhash64("text").alias("h")), []
+    for shared, only in by_blocks(benchmark, errors):
+        each = rows.mapInArrow(hits(shared, only), "doc_id long, h long, items array<long>")
+        if only:
+            return each.select("doc_id", "items")
+        found.append(materialise(each.distinct(), "hits"))
+    every = found[0]
+    for x in found[1:]:
+        every = every.unionByName(x)
+    every = every.groupBy("doc_id", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.h") == F.col("f.h"))
+    joined = rows.select("doc_id", "h").alias("d").join(every.alias("f"), same, "left")
+    return joined.select("d.doc_id", F.coalesce("f.items", F.array().cast("array<long>")).alias("items"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, errors: int = ERRORS) -> DataFrame:
-    """The rows of docs, all columns, in which no item is found."""
-    matchers = shared_items(benchmark, errors)
+    """The rows of docs, all columns, in which no item is found; with several blocks what one leaves is written for the next."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            yield b.filter(pa.array([not any(m.value.matches(t) for m in matchers) for t in b.column("text").to_pylist()], pa.bool_()))
+    def free_of(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches):
+                yield b.filter(pa.array([not shared.value.matches(t) for t in b.column("text").to_pylist()], pa.bool_()))
+
+        return run
 
-    return docs.mapInArrow(run, docs.schema)
+    for shared, only in by_blocks(benchmark, errors):
+        docs = docs.mapInArrow(free_of(shared), docs.schema)
+        docs = docs if only else materialise(docs, "clean")
+    return docs
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

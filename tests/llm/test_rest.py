@@ -18,10 +18,10 @@ def distance(p, t):
     return min(prev)
 
 
-def test_decontamination(spark, corpus, odd, empty):
+def test_decontamination(spark, corpus, odd, empty, monkeypatch):
     df, rows = corpus
     r = random.Random(1)
-    items = [(i, rows[i][1][:150]) for i in range(0, 12, 2)] + [(90, "short"), (91, None), (None, "no id for this one here at all")]
+    items = [(i, rows[i][1][:150]) for i in range(0, 12, 2)] + [(90, "short"), (92, " Z z "), (91, None), (93, "  "), (None, "no id for this one here at all")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     edited = []
     for n, edits in enumerate((0, 3, 8, 9, 30)):
@@ -29,12 +29,20 @@ def test_decontamination(spark, corpus, odd, empty):
         for at in r.sample(range(len(t)), edits):
             t[at] = r.choice(["Q", "", t[at] + "q"])
         edited.append((500 + n, f"{rows[50][1]} {''.join(t).upper()} {rows[51][1]}", "en", "a"))
+    edited += [(600, "a Short story, z\tZ", "en", "a"), (601, "short", "en", "a"), (602, "shorter z zz", "en", "a")]
     all_rows = rows + edited
     got = {x.doc_id: x["items"] for x in decontam.find(df.union(spark.createDataFrame(edited, df.schema)), bench).collect()}
-    kept = [(i, decontam.normal(t)) for i, t in items if i is not None and len(decontam.normal(t)) >= decontam.MIN_CHARS]
+    kept = [(i, decontam.normal(t)) for i, t in items if i is not None and decontam.normal(t)]
+    there = lambda item, t: f" {item} " in f" {t} " if len(item) < decontam.SHORT else distance(item, t) <= decontam.budget(len(item))
     for i, text, *_ in all_rows[:40] + edited:
         t = decontam.normal(text)
-        assert got[i] == [k for k, item in kept if distance(item, t) <= decontam.budget(len(item))]
+        assert got[i] == sorted(k for k, item in kept if there(item, t))
+    one = [r.doc_id for r in decontam.clean(df.union(spark.createDataFrame(edited, df.schema)), bench).select("doc_id").collect()]
+    monkeypatch.setattr(decontam, "MAX_ITEM_BYTES", 200)  # several blocks give the same
+    again = {x.doc_id: x["items"] for x in decontam.find(df.union(spark.createDataFrame(edited, df.schema)), bench).collect()}
+    assert again == got
+    assert sorted(one) == sorted(r.doc_id for r in decontam.clean(df.union(spark.createDataFrame(edited, df.schema)), bench).select("doc_id").collect()) == sorted(i for i, x in got.items() if not x)
+    assert decontam.find(odd, bench).count() == 11
     assert decontam.clean(odd, bench).count() == 11 and decontam.clean(odd, bench.limit(0)).columns == odd.columns
     assert decontam.find(empty, bench).count() == 0
 
@@ -42,7 +50,7 @@ def test_decontamination(spark, corpus, odd, empty):
 @pytest.mark.parametrize("name", ["op3_mixing", "op5_extendible_sharding"])
 def test_sql(spark, corpus, name, tmp_path):
     df, rows = corpus
-    df.withColumn("source", mixing.F.when(mixing.F.col("doc_id") % 3 > 0, "hot").otherwise(mixing.F.col("source"))).write.parquet(str(tmp_path / "documents.parquet"))
+    df.withColumn("source", mixing.F.when(mixing.F.col("doc_id") % 3 > 0, "hot").when(mixing.F.col("doc_id") % 9 == 0, "").when(mixing.F.col("doc_id") % 9 == 3, mixing.F.lit(None)).otherwise(mixing.F.col("source"))).write.parquet(str(tmp_path / "documents.parquet"))
     got = {"op3_mixing": mixing.op3_mixing, "op5_extendible_sharding": sharding.op5_extendible_sharding}[name](spark, str(tmp_path)).toPandas()
     c = duckdb.connect()
     c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
@@ -57,9 +65,11 @@ def test_mixing_budget(spark, odd, empty):
     out = mixing.mix(docs, repeats=3.0)
     total = found.agg(mixing.F.sum("n_tokens")).first()[0]
     for r in out.groupBy("source").agg(mixing.F.sum(mixing.n_words(mixing.F.col("text"))).alias("n")).collect():
-        assert 0 <= plan[r.source].weight * total - r.n <= 8  # short of the budget by less than a document
+        assert 0 <= plan["=" + r.source].weight * total - r.n <= 8  # short of the budget by less than a document
     assert max(r.n for r in out.groupBy("doc_id").agg(mixing.F.count("*").alias("n")).collect()) <= 3
     assert mixing.mix(odd).columns == odd.columns and mixing.mix(empty).count() == 0
+    apart = spark.createDataFrame([(i, "w w", None, "" if i % 2 else None) for i in range(6)], "doc_id long, text string, lang string, source string")
+    assert {r.source: r.docs for r in mixing.sized(apart).groupBy("source").agg(mixing.F.count("*").alias("docs")).collect()} == {"=": 3, "-": 3}
 
 
 def test_sharding_limits(spark, corpus, odd, empty, tmp_path):
