@@ -1,11 +1,17 @@
 """Token-id output: documents in ascending order as one id array, with Elias-Fano coded document boundaries.
 
+Both rising sequences of a segment, the documents' ends in the id array and their doc_ids, are Elias-Fano coded: the low bits of each number packed, the high bits in unary, with the place of each
+64th set bit. No table of 64-bit numbers is kept; `read` asks the select structure for each document's bounds and id.
+
 A *segment* is the unit of the file format (see `pack`). It holds whole documents only and about `segment_ids` ids; a longer
 document makes a segment of its own. Segments are written as rows (part, seg, start_in_part, n_docs, n_ids, segment) of a Parquet
 folder: Spark's committer makes that write atomic on any store and under lost executors, and each value of `segment` is
 byte for byte what `export` writes as a file of its own.
 
-Edge cases: a null or empty text gives the end id alone; null doc_ids come first, marked in the segment; repeated doc_ids give a row each,
+A tokenizer whose ids of a text are those of its words in a row (it drops white space and treats each word alone: told from its settings and then tried) is asked for each word
+once; any other gets whole texts.
+
+Edge cases: a null or empty text gives the end id alone; null doc_ids come first, counted in the segment; repeated doc_ids give a row each,
 in order of their texts' hashes; an empty table gives an empty folder; other columns are ignored.
 """
 
@@ -24,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm.util import coded, shared_path, ship, shuffle_partitions, slices, words
+from factweave.llm.util import coded, release, shared_path, ship, shuffle_partitions, slices, words
 
-MAGIC = b"EFIDS01\n"
-HEADER = struct.Struct("<8sBBHIQQQ")  # magic, bytes per id, low bits, select step, 0, documents, ids, bytes of the upper bits
+MAGIC = b"EFIDS02\n"
+HEADER = struct.Struct("<8sBHIQQq")  # magic, bytes per id, 0, null doc_ids, documents, ids, smallest doc_id
+RISING = struct.Struct("<BIQ")  # low bits, select step, bytes of the upper bits
 SELECT_STEP = 64
 SCHEMA = "part int, seg long, start_in_part long, n_docs long, n_ids long, segment binary"
 
@@ -35,69 +42,77 @@ SCHEMA = "part int, seg long, start_in_part long, n_docs long, n_ids long, segme
 # --- the file format ---------------------------------------------------------------------------------------------------------
 
 
-def pack(doc_ids: np.ndarray, nulls: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
-    """One segment: header; low bits of all boundaries but the first (0), packed; upper bits in unary; the position of each 64th
-    set bit (uint32); doc_ids (int64) and a bit each for null; ids. All integers are little-endian, bits are in little order."""
-    n, total = len(counts), int(counts.sum())
-    ends = np.cumsum(counts, dtype=np.int64)
-    low = max(0, (total // n).bit_length() - 1) if n else 0
-    lows = np.packbits(((ends[:, None] >> np.arange(low)) & 1).astype(np.uint8).ravel(), bitorder="little") if low else np.zeros(0, np.uint8)
-    ones = (ends >> low) + np.arange(n)
+def pack_rising(values: np.ndarray) -> bytes:
+    """Elias-Fano code of numbers that never fall, from 0 on: header, low bits, upper bits in unary, the position of each 64th set bit (uint32). Bits are in little order."""
+    n, top = len(values), int(values[-1]) if len(values) else 0
+    values = values.astype(np.uint64)
+    low = max(0, (top // n).bit_length() - 1) if n else 0
+    lows = np.packbits(((values[:, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little") if low else np.zeros(0, np.uint8)
+    ones = (values >> np.uint64(low)).astype(np.int64) + np.arange(n)
     bits = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
     bits[ones] = 1
     upper = np.packbits(bits, bitorder="little")
-    head = HEADER.pack(MAGIC, ids.dtype.itemsize, low, SELECT_STEP, 0, n, total, len(upper))
-    return b"".join([head, lows.tobytes(), upper.tobytes(), ones[::SELECT_STEP].astype("<u4").tobytes(), doc_ids.astype("<i8").tobytes(), np.packbits(nulls.astype(np.uint8), bitorder="little").tobytes(), ids.tobytes()])
+    return b"".join([RISING.pack(low, SELECT_STEP, len(upper)), lows.tobytes(), upper.tobytes(), ones[::SELECT_STEP].astype("<u4").tobytes()])
 
 
-class Segment:
-    """Reads a packed segment; `bounds(i)` answers from the coded boundaries alone, `all_bounds()` decodes them at once."""
+class Rising:
+    """Reads what pack_rising wrote, from `at` on; `end` is where it ends."""
 
-    def __init__(self, data: bytes):
-        magic, width, self.low, step, _, self.n, self.total, upper = HEADER.unpack_from(data)
-        if magic != MAGIC or step != SELECT_STEP:
-            raise ValueError("not a segment of token ids")
-        at = HEADER.size
+    def __init__(self, data: bytes, at: int, n: int):
+        self.low, step, upper = RISING.unpack_from(data, at)
+        if step != SELECT_STEP:
+            raise ValueError("not this select step")
+        at += RISING.size
+        self.lows = data[at : (at := at + (n * self.low + 7) // 8)]
+        self.upper = data[at : (at := at + upper)]
+        self.samples = np.frombuffer(data, "<u4", -(-n // SELECT_STEP), at)
+        self.end = at + 4 * len(self.samples)
 
-        def take(size: int, dtype: str) -> np.ndarray:
-            nonlocal at
-            at += size
-            return np.frombuffer(data, dtype, size // np.dtype(dtype).itemsize, at - size)
-
-        self.lows, self.upper = take((self.n * self.low + 7) // 8, "u1"), take(upper, "u1")
-        self.samples = take(-(-self.n // SELECT_STEP) * 4, "<u4")
-        self.doc_ids, nulls = take(self.n * 8, "<i8"), take((self.n + 7) // 8, "u1")
-        self.nulls = np.unpackbits(nulls, count=self.n, bitorder="little").astype(bool)
-        self.ids = take(self.total * width, f"<u{width}")
-
-    def end(self, i: int) -> int:
-        """The end of document i: select(i) on the upper bits, from the nearest sample, and the low bits."""
-        at = int(self.samples[i // SELECT_STEP])
-        left = i % SELECT_STEP
+    def select(self, i: int) -> int:
+        """The i-th number: its set bit in the upper bits, from the nearest sample, and its low bits."""
+        at, left = int(self.samples[i // SELECT_STEP]), i % SELECT_STEP
         byte, first = at // 8, at % 8
-        while True:
-            bits = int(self.upper[byte]) >> first << first
+        while True:  # eight bytes at a time
+            bits = int.from_bytes(self.upper[byte : byte + 8], "little") >> first << first
             if left < (have := bits.bit_count()):
                 for _ in range(left):
                     bits &= bits - 1
                 at = byte * 8 + (bits & -bits).bit_length() - 1
                 break
-            left, byte, first = left - have, byte + 1, 0
+            left, byte, first = left - have, byte + 8, 0
         bit = i * self.low
-        got = int.from_bytes(self.lows[bit // 8 : (bit + self.low + 7) // 8].tobytes(), "little") >> bit % 8 & ((1 << self.low) - 1)
-        return (at - i) << self.low | got
+        low = int.from_bytes(self.lows[bit // 8 : (bit + self.low + 7) // 8], "little") >> bit % 8 & ((1 << self.low) - 1)
+        return (at - i) << self.low | low
+
+
+def pack(doc_ids: np.ndarray, nulls: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
+    """One segment: header, the documents' ends, the doc_ids that aren't null less the smallest (nulls come first), ids. All integers are little-endian."""
+    known = doc_ids[int(nulls.sum()) :].astype(np.int64)
+    least = int(known[0]) if len(known) else 0
+    rest = (known.view(np.uint64) - np.array([least], np.int64).view(np.uint64)) if len(known) else known.astype(np.uint64)
+    head = HEADER.pack(MAGIC, ids.dtype.itemsize, 0, int(nulls.sum()), len(counts), int(counts.sum()), least)
+    return b"".join([head, pack_rising(np.cumsum(counts, dtype=np.int64)), pack_rising(rest), ids.tobytes()])
+
+
+class Segment:
+    """Reads a packed segment: `bounds(i)` and `doc_id(i)` answer from the coded sequences, `document(i)` gives the ids."""
+
+    def __init__(self, data: bytes):
+        magic, width, _, self.nulls, self.n, self.total, self.least = HEADER.unpack_from(data)
+        if magic != MAGIC:
+            raise ValueError("not a segment of token ids")
+        self.ends = Rising(data, HEADER.size, self.n)
+        self.keys = Rising(data, self.ends.end, self.n - self.nulls)
+        self.ids = np.frombuffer(data, f"<u{width}", self.total, self.keys.end)
+
+    def end(self, i: int) -> int:
+        return self.ends.select(i)
 
     def bounds(self, i: int) -> tuple[int, int]:
         return self.end(i - 1) if i else 0, self.end(i)
 
-    def all_bounds(self) -> np.ndarray:
-        if not self.n:
-            return np.zeros(1, np.int64)
-        ones = np.flatnonzero(np.unpackbits(self.upper, bitorder="little"))[: self.n]
-        lows = np.zeros(self.n, np.int64)
-        if self.low:
-            lows = np.unpackbits(self.lows, count=self.n * self.low, bitorder="little").reshape(self.n, self.low).astype(np.int64) @ (1 << np.arange(self.low))
-        return np.concatenate([[0], (ones - np.arange(self.n)) << self.low | lows])
+    def doc_id(self, i: int) -> int | None:
+        return self.least + self.keys.select(i - self.nulls) if i >= self.nulls else None
 
     def document(self, i: int) -> np.ndarray:
         a, b = self.bounds(i)
@@ -128,6 +143,7 @@ class Encoder:
         self.table = str.maketrans({c: p[0][0] for c, p in zip(letters, pieces, strict=True) if len(p) == 1})
         tried = [x + y + z for x in letters for y in letters for z in ("", "en")]
         self.direct = all(len(p) == 1 for p in pieces) and self.by_model(tried) == self.raw(tried)
+        self.by_words = self.words_alone()
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -136,6 +152,26 @@ class Encoder:
         tokenize, kind = self.tokenizer.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
         return [array(kind, [t.id for t in tokenize(x.translate(self.table))]).tobytes() for x in letters]
 
+    def words_alone(self) -> bool:
+        """Whether a text's ids are those of its words in a row, in either case of their letters: the settings must drop white space and change each character on its own, and texts of all
+        sorts must come out the same either way."""
+        import json
+
+        said = json.loads(self.tokenizer.to_str())
+        flat = lambda x, key: x.get(key, [x]) if x else []
+        steps, splits = flat(said.get("normalizer"), "normalizers"), flat(said.get("pre_tokenizer"), "pretokenizers")
+        known = lambda x: x.get("type") in ("BertNormalizer", "Lowercase", "NFC", "NFD", "NFKC", "NFKD", "StripAccents") or (x.get("type"), x.get("pattern"), x.get("content")) == ("Replace", {"Regex": r"\s+"}, " ")
+        drops = lambda x: x.get("type") in ("BertPreTokenizer", "Whitespace", "WhitespaceSplit") or (x.get("type"), x.get("behavior"), x.get("invert")) == ("Split", "Removed", True)
+        late = lambda x: x.get("type") == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex")
+        if said.get("truncation") or not splits or not all(map(known, steps)) or not drops(splits[0]) or not all(map(late, splits[1:])):
+            return False
+        words = "Mixed CASE words, and (signs) -- don't 12,345.67 a_b x/y é É ÄÖÜß ñ œ 東京 привет #tag @me $5 100% e.g. U.S.A. \u2014 \u2019s".split()
+        for gap in (" ", "  ", "\t", "\n", "\r\n \n", "\x0b", "\x0c"):
+            text = gap + gap.join(words) + gap
+            if self.raw([text]) != [b"".join(self.words(words))]:
+                return False
+        return True
+
     def words(self, found: list[str]) -> list[bytes]:
         parts, match = self.parts, PLAIN.fullmatch
         if len(parts) > self.keep:
@@ -149,6 +185,10 @@ class Encoder:
 
     def texts(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end ids, and each text's count."""
+        if not self.by_words:
+            stop = np.array([end_id], self.dtype).tobytes()
+            each = [x + stop for x in self.raw([t or "" for t in texts.to_pylist()])]
+            return np.frombuffer(b"".join(each), self.dtype), np.fromiter(map(len, each), np.int64, len(each)) // self.dtype.itemsize
         flat, offsets = words(texts)
         codes, unique = coded(flat)
         each = [*self.words(unique.to_pylist()), np.array([end_id], self.dtype).tobytes()]
@@ -208,6 +248,8 @@ def encode_segments(path: str | None, end_id: int, segment_ids: int):
                     yield out()
         if held:
             yield out()
+        enc.parts.clear()  # the worker lives on into other stages
+        release()
 
     return run
 
@@ -226,9 +268,9 @@ def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for data, start, base in zip(b.column("segment"), b.column("start_in_part"), b.column("base"), strict=True):
             s = Segment(data.as_py())
-            bounds = s.all_bounds()
+            bounds = np.array([0, *map(s.end, range(s.n))], np.int64)
             crc = [zlib.crc32(s.ids[x:y].astype("<u4")) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(s.doc_ids, pa.int64(), mask=s.nulls), "start": bounds[:-1] + start.as_py() + base.as_py(), "n_tokens": np.diff(bounds), "ids_crc32": pa.array(crc, pa.int64())})
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(map(s.doc_id, range(s.n)), pa.int64()), "start": bounds[:-1] + start.as_py() + base.as_py(), "n_tokens": np.diff(bounds), "ids_crc32": pa.array(crc, pa.int64())})
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
