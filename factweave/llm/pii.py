@@ -3,8 +3,9 @@
 Candidates are the base patterns' spans and looser forms of the same four kinds: spelled-out addresses, IPv6, digit groups of a card's length and national phone numbers.
 Five labelers vote on each candidate (1 yes, -1 no, 0 abstains): the base pattern, a validity check, a gazetteer, words of context
 before the span, and the span's surroundings. Expectation-maximisation estimates each labeler's reliability for each kind from the counts of vote
-patterns (at most 4 * 3^5, however large the corpus), then a logistic classifier is fitted to its soft labels on the same counts; it has the votes, whether they agree and the kind as
-features. A candidate that no base span overlaps becomes a span if the classifier gives it over one half; base spans always stay.
+patterns (at most 4 * 3^5, however large the corpus). A logistic classifier is then fitted to its soft labels. It doesn't see the votes, only traits of the span and of its context in a few
+values each (length, signs inside, share of digits, what stands before and after it, context words near it), each for its kind, again from counts (at most 4 * 3^5 * 2304 rows, of which
+text fills some hundreds). A candidate that no base span overlaps becomes a span if the classifier gives it over one half; base spans always stay.
 
 Edge cases: null and empty texts have no spans; null doc_ids are kept; repeated rows each give a row; very long digit runs and words are matched in linear time
 (possessive quantifiers); of overlapping added spans of one kind the first stays; an empty table gives no rows; other columns are ignored.
@@ -25,7 +26,8 @@ KINDS = ("email", "ip", "card", "phone")
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    # a run starts where no digit, or digit and sign, is before it; runs of fewer than 13 digits never pass and need no place
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 LOOSE = {
@@ -33,8 +35,8 @@ LOOSE = {
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "phone": r"(?<![0-9+.-])(?:\([0-9]{2,4}\)|0?[0-9]{2,4})[ ./-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9.-])",
 }
-#: A text without these has no candidate of the kind.
-QUICK = {"email": r"@|[\[({ ]dot[\])} ]", "ip": r"[0-9]\.[0-9]|:[0-9A-Fa-f]{1,4}:", "card": r"[0-9][\x20-]?[0-9]", "phone": r"[0-9)][\x20().-]?[0-9(]"}
+#: Each match of a kind's patterns holds one of these, so a text without them has no candidate of the kind.
+QUICK = {"email": r"@|[\[({ ]dot[\])} ]", "ip": r"[0-9]\.[0-9]|:[0-9A-Fa-f]{1,4}:", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]|[0-9)][ ./-][0-9]{3}"}
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 TAILS = "com org net edu gov int info biz io de fr es it uk eu ch at nl be us ca mx ar br"
 #: Context words by kind, in English, German, French and Spanish; and words that tell against all kinds.
@@ -45,22 +47,33 @@ CONTEXT = {
     "phone": r"phone|tel\b|tel[.:]|call|fax|mobile|cell|telefon|t[eé]l[eé]|anruf|llam|appel",
 }
 AGAINST = r"isbn|issn|\bdoi\b|version|\bv\.|order|invoice|serial|section|chapter|page|build"
-HIT = "struct<s:bigint,e:bigint,hit:string>"
+HIT = "struct<s:bigint,e:bigint,hit:string,before:string,after:string>"
+#: Characters of context on either side of a span, up to the neighbouring matches of its pattern.
+CONTEXT_CHARS = 80
 VOTES = ("pattern", "valid", "gazetteer", "context", "around")
+#: Features of a span and what is around it, with the number of their values: length, signs inside, digits' share, what is before and after it, context words near it.
+TRAITS = {"long": 4, "signs": 3, "digit": 4, "ahead": 4, "behind": 4, "near": 3}
+
+
+def running(lengths: Column, block: int = 256) -> Column:
+    """Sums of array<bigint> lengths up to and with each entry: within blocks first, then over the blocks, so that no long array is built entry by entry."""
+    none = F.array().cast("array<bigint>")
+    state = "struct<s:bigint,out:array<bigint>>"
+    step = lambda a, x: F.struct((a["s"] + x).alias("s"), F.concat(a["out"], F.array(a["s"] + x)).alias("out")).cast(state)
+    plain = lambda xs: F.aggregate(xs, F.struct(F.lit(0).cast("long").alias("s"), none.alias("out")).cast(state), step, lambda a: a["out"])
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / block).cast("int")), lambda i: plain(F.slice(lengths, i * block + 1, F.lit(block))))
+    by_block = let(blocks, lambda w: let(plain(F.transform(w, lambda x: F.element_at(x, -1))), lambda t: F.flatten(F.transform(w, lambda x, i: F.transform(x, lambda y: y + F.when(i > 0, F.get(t, i - 1)).otherwise(0))))))
+    return F.when(F.size(lengths) == 0, none).otherwise(F.when(F.size(lengths) <= block, plain(lengths)).otherwise(by_block))
 
 
 def hits(t: Column, pattern: str) -> Column:
-    """(s, e, hit) of a pattern's matches, in code points: the pieces between matches and the matches themselves add up."""
+    """(s, e, hit, before, after) of a pattern's matches, in code points: the pieces between matches and the matches themselves add up. The context comes from these pieces, as
+    looking it up by its place would walk through the text for each match."""
     none = F.array().cast(f"array<{HIT}>")
-    state = f"struct<at:bigint,out:array<{HIT}>>"
-
-    def step(a: Column, x: Column) -> Column:
-        s = a["at"] + x["gap"]
-        e = s + F.length(x["hit"])
-        return F.struct(e.alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["hit"].alias("hit")))).alias("out")).cast(state)
 
     def placed(h: Column) -> Column:
-        pieces = lambda p: F.aggregate(F.transform(h, lambda x, i: F.struct(F.length(F.get(p, i)).alias("gap"), x.alias("hit"))), F.struct(F.lit(0).alias("at"), none.alias("out")).cast(state), step, lambda a: a["out"])
+        ends = lambda p: running(F.transform(h, lambda x, i: (F.length(F.get(p, i)) + F.length(x)).cast("long")))
+        pieces = lambda p: let(ends(p), lambda e: F.transform(h, lambda x, i: F.struct((F.get(e, i) - F.length(x)).alias("s"), F.get(e, i).alias("e"), x.alias("hit"), F.substring(F.get(p, i), -CONTEXT_CHARS, CONTEXT_CHARS).alias("before"), F.substring(F.get(p, i + 1), 1, CONTEXT_CHARS).alias("after"))))
         return F.when(F.size(h) == 0, none).otherwise(let(F.split(t, pattern, -1), pieces))
 
     return let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), placed)
@@ -85,10 +98,10 @@ def sign(yes: Column, no: Column | None = None) -> Column:
     return F.when(yes, 1).when(F.lit(True) if no is None else no, -1).otherwise(0).cast("int")
 
 
-def votes(kind: str, t: Column, c: Column, base: Column) -> list[Column]:
+def votes(kind: str, c: Column, base: Column) -> list[Column]:
     """One column for each labeler."""
-    hit, before = c["hit"], F.lower(F.substring(t, F.greatest(c["s"] - 39, F.lit(1)).cast("int"), F.least(c["s"], F.lit(40)).cast("int")))
-    beside = F.substring(t, (c["e"] + 1).cast("int"), F.lit(1))
+    hit, before = c["hit"], F.lower(F.substring(c["before"], -40, 40))
+    beside = F.substring(c["after"], 1, 1)
     d = digits(hit)
     checks = {
         "email": (F.lower(hit).rlike(r"(?:\.|dot[\])}]? ?)[a-z]{2,10}$"), None),
@@ -110,21 +123,34 @@ def votes(kind: str, t: Column, c: Column, base: Column) -> list[Column]:
     ]
 
 
+def traits(kind: str, c: Column) -> list[Column]:
+    """One small number for each of TRAITS."""
+    hit = c["hit"]
+    place = lambda x, *bounds: sum((x > b).cast("int") for b in bounds)
+    around = F.lower(F.concat(c["before"], F.lit(" "), c["after"]))
+    sort = lambda x: F.when(x == "", 0).when(x.rlike(r"[A-Za-z0-9_]"), 1).when(x.rlike(r"\s"), 2).otherwise(3)
+    ahead, behind = F.substring(c["before"], -1, 1), F.substring(c["after"], 1, 1)
+    return [
+        place(F.length(hit), 10, 15, 25), place(F.length(F.regexp_replace(hit, "[A-Za-z0-9]", "")), 1, 4), place(4 * F.length(digits(hit)) / F.greatest(F.length(hit), F.lit(1)), 0.5, 2, 3.5),
+        sort(ahead), sort(behind), F.when(around.rlike(AGAINST), 2).when(around.rlike(CONTEXT[kind]), 1).otherwise(0),
+    ]
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id and cands: (kind, k, s, e, base, five votes) of each row of docs(doc_id, text)."""
+    """doc_id and cands: (kind, k, s, e, base, five votes, six traits) of each row of docs(doc_id, text)."""
     t = F.col("t")
 
     def of(kind: str) -> Column:
         k = KINDS.index(kind)
 
         def made(c: Column, base: Column) -> Column:
-            return F.struct(F.lit(kind).alias("kind"), F.lit(k).alias("k"), c["s"].alias("s"), c["e"].alias("e"), base.alias("base"), *[v.alias(n) for n, v in zip(VOTES, votes(kind, t, c, base), strict=True)])
+            return F.struct(F.lit(kind).alias("kind"), F.lit(k).alias("k"), c["s"].alias("s"), c["e"].alias("e"), base.alias("base"), *[v.alias(n) for n, v in zip(VOTES, votes(kind, c, base), strict=True)], *[v.cast("int").alias(n) for n, v in zip(TRAITS, traits(kind, c), strict=True)])
 
         strict = F.transform(hits(t, BASE[kind]), lambda c: made(c, valid(kind, c["hit"])))
         if kind == "card":  # as for phone numbers, a failed match is a candidate only at the right length
             strict = F.filter(strict, lambda x: (x["e"] - x["s"]).between(13, 40))
         found = strict if kind not in LOOSE else F.concat(strict, F.transform(hits(t, LOOSE[kind]), lambda c: made(c, F.lit(False))))
-        return F.when(t.rlike(QUICK[kind]), found).otherwise(F.filter(F.array(made(F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("e"), F.lit("").alias("hit")), F.lit(False))), lambda x: F.lit(False)))
+        return F.when(t.rlike(QUICK[kind]), found).otherwise(F.filter(F.array(made(F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("e"), F.lit("").alias("hit"), F.lit("").alias("before"), F.lit("").alias("after")), F.lit(False))), lambda x: F.lit(False)))
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).select("doc_id", F.concat(*[of(k) for k in KINDS]).alias("cands"))
 
@@ -154,40 +180,55 @@ def em(counts: dict[tuple, int], rounds: int = 50) -> dict[tuple, float]:
     return soft
 
 
-def span_features(kind_votes: tuple) -> list[float]:
-    v = kind_votes[1:]
-    return [1.0, *(float(x == y) for x in v for y in (1, -1)), float(all(x >= 0 for x in v)), *(float(kind_votes[0] == k) for k in KINDS)]
+def places(kind: str, values: tuple) -> list[int]:
+    """Which of a span's weights count: one for its kind and one for each trait's value in this kind."""
+    base = KINDS.index(kind) * (1 + sum(TRAITS.values()))
+    out, at = [base], base + 1
+    for v, n in zip(values, TRAITS.values(), strict=True):
+        out.append(at + v)
+        at += n
+    return out
 
 
-def logistic(rows: list[tuple[list[float], float, int]], rounds: int = 300, l2: float = 0.01) -> list[float]:
-    """Weights of a logistic regression on soft labels with counts; rare kinds weigh as much as common ones by square roots."""
-    w = [0.0] * (len(rows[0][0]) if rows else 0)
+def logistic(rows: list[tuple[list[int], float, int]], rounds: int = 200, l2: float = 0.01) -> list[float]:
+    """Weights of a logistic regression on soft labels with counts; rare rows weigh as much as common ones by square roots."""
+    w = [0.0] * (len(KINDS) * (1 + sum(TRAITS.values())))
     total = sum(math.sqrt(n) for _, _, n in rows) or 1.0
     for _ in range(rounds):
         g = [-l2 * x for x in w]
-        for x, y, n in rows:
-            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(w, x, strict=True))))))
-            for i, a in enumerate(x):
-                g[i] += math.sqrt(n) / total * (y - p) * a
+        for at, y, n in rows:
+            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(w[i] for i in at)))))
+            for i in at:
+                g[i] += math.sqrt(n) / total * (y - p)
         w = [a + 2.0 * b for a, b in zip(w, g, strict=True)]
     return w
 
 
 def fit(cands: DataFrame) -> list[float]:
-    """Classifier weights from the counts of (kind, votes), at most 4 * 3^5 rows."""
-    counted = cands.select(F.explode("cands").alias("c")).groupBy("c.kind", *[f"c.{v}" for v in VOTES]).count().collect()
-    rows = []
+    """Classifier weights from the counts of (kind, votes, traits)."""
+    counted = cands.select(F.explode("cands").alias("c")).groupBy("c.kind", *[f"c.{v}" for v in (*VOTES, *TRAITS)]).count().collect()
+    rows: dict[tuple, list[float]] = {}
     for kind in KINDS:
-        counts = {tuple(r)[1:-1]: r["count"] for r in counted if r.kind == kind}
-        rows += [(span_features((kind, *v)), p, counts[v]) for v, p in (em(counts) if counts else {}).items()]
-    return logistic(sorted(rows))
+        of = [(tuple(r)[1 : 1 + len(VOTES)], tuple(r)[1 + len(VOTES) : -1], r["count"]) for r in counted if r.kind == kind]
+        counts: dict[tuple, int] = {}
+        for v, _, n in of:
+            counts[v] = counts.get(v, 0) + n
+        soft = em(counts) if counts else {}
+        for v, x, n in of:
+            sums = rows.setdefault((kind, x), [0.0, 0])
+            sums[0] += soft[v] * n
+            sums[1] += n
+    return logistic([(places(*k), y / n, n) for k, (y, n) in sorted(rows.items())])
 
 
 def scored(c: Column, weights: list[float]) -> Column:
-    terms = [F.lit(1.0), *((c[v] == y).cast("double") for v in VOTES for y in (1, -1)), F.forall(F.array(*[c[v] for v in VOTES]), lambda x: x >= 0).cast("double"), *((c["kind"] == k).cast("double") for k in KINDS)]
-    total = F.lit(0.0)
-    for x, w in zip(terms, weights, strict=False):
-        total = total + x * w
+    """The log-odds of a candidate: its weights are looked up by kind and value."""
+    table = F.array(*map(F.lit, weights))
+    base = c["k"] * (1 + sum(TRAITS.values()))
+    total, at = F.get(table, base), 1
+    for name, n in TRAITS.items():
+        total = total + F.get(table, base + at + c[name])
+        at += n
     return total
 
 
