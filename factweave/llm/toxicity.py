@@ -3,8 +3,9 @@
 Features are densities of two lexicons learned from labelled texts (whole words and word beginnings), of words found only after
 undoing obfuscation (look-alike digits and signs, inner punctuation, stretched or spaced letters), nearness of second-person words, capitals, punctuation and symbols.
 
-Training takes about `sample` labelled documents, chosen by a hash of doc_id; the lexicons keep at most `LEXICON` entries of either kind. Four
-fifths of the sample grow the trees and the rest calibrates.
+Training takes about `sample` labelled documents, chosen by a hash of doc_id; the lexicons keep at most `LEXICON` entries of either kind. By another hash two fifths of the sample teach
+the lexicons, two fifths grow the trees and the rest calibrates, so that neither trees nor calibration see words that were learned from their own texts; where one of these parts has fewer than
+20 texts or only one kind of label, all three take the whole sample.
 
 Edge cases: null, empty or blank texts have all features 0 and get the score that calibration gives these; null doc_ids aren't held out and never train;
 null labels don't train; without any label, or with labels of one kind only, the score is the share of toxic labels (0 if none); repeated rows each give a row; an empty table gives no rows; other columns are ignored.
@@ -14,10 +15,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,33 +50,43 @@ def undone(word: str) -> str:
     return STRETCHED.sub(r"\1", INNER.sub("", w))
 
 
+#: Kinds of signs in a word, as patterns that are counted.
+LETTER, CAPITAL, DIGIT, EXCLAIM, POINT = r"\pL", r"\p{Lu}", r"\p{Nd}", "[!?]", r"""[.,;:!?'"()\-]"""
+AROUND = r"^[^\pL\pN]+|[^\pL\pN]+$"
+#: Only such words can be disguised: with something but letters inside, three equal letters in a row, or letters of which this isn't told quickly.
+ODD = r"\pL[^\pL]|[^\pL]\pL|[^\x00-\xff]|" + "|".join(f"{c}{{3}}" for c in map(chr, range(0x61, 0x100)) if c.isalpha())
+
+
 @dataclass
 class Lexicons:
     words: frozenset = frozenset()
     beginnings: frozenset = frozenset()
-    seen: dict = field(default_factory=dict, repr=False)
-
-    def flags(self, word: str) -> tuple:
-        """hit, beginning, disguised, second, capital word, letters, capitals, exclamation marks, punctuation, symbols, mixed, length, single letter."""
-        found = self.seen.get(word)
-        if found is None:
-            if len(self.seen) > 300_000:
-                self.seen.clear()
-            p = plain(word)
-            hit = p in self.words
-            bare = word.rstrip("*#$%&")
-            letters = sum(c.isalpha() for c in word)
-            capitals = sum(c.isupper() for c in word)
-            disguised = not hit and p not in ("",) and (u := undone(bare)) != p and len(u) > 2 and u in self.words
-            exclaims = word.count("!") + word.count("?")
-            inner = EDGES.sub("", word)
-            signs = len(word) - letters - sum(c.isdigit() for c in word)
-            punctuation = sum(c in ".,;:!?'\"-()" for c in word)
-            found = self.seen[word] = (hit, len(p) >= PREFIX and p[:PREFIX] in self.beginnings, disguised, p in SECOND, letters > 1 and capitals == letters, letters, capitals, exclaims, punctuation, signs - punctuation, bool(letters) and any(not c.isalpha() and c not in "'’-" for c in inner), len(word), len(p) == 1 and letters == 1)
-        return found
-
-
-def spaced(unique: list[str], codes: np.ndarray, single: np.ndarray, offsets: np.ndarray, lex: Lexicons) -> np.ndarray:
+
+    def flags(self, words: pa.Array) -> np.ndarray:
+        """A row for each word: hit, beginning, disguised, second, capital word, letters, capitals, exclamation marks, punctuation, symbols, mixed, length, single letter. All but the
+        disguised words by Arrow's string kernels."""
+        count = lambda pattern, x=words: pc.count_substring_regex(x, pattern).to_numpy().astype(np.int64)
+        inner = pc.replace_substring_regex(words, AROUND, "")
+        p = pc.utf8_lower(inner)
+        among = lambda x, known: pc.is_in(x, value_set=pa.array(sorted(known), pa.string())).to_numpy(zero_copy_only=False)
+        hit, long = among(p, self.words), pc.utf8_length(p).to_numpy()
+        beginning = (long >= PREFIX) & among(pc.utf8_slice_codeunits(p, 0, PREFIX), self.beginnings)
+        letters, capitals, points = count(LETTER), count(CAPITAL), count(POINT)
+        length = pc.utf8_length(words).to_numpy().astype(np.int64)
+        disguised = np.zeros(len(words), bool)
+        if self.words:
+            lower = pc.utf8_lower(words)
+            ask = np.flatnonzero(~hit & (long > 0) & pc.match_substring_regex(lower, ODD).to_numpy(zero_copy_only=False))
+            for i, w, x in zip(ask.tolist(), words.take(pa.array(ask)).to_pylist(), p.take(pa.array(ask)).to_pylist(), strict=True):
+                u = undone(w.rstrip("*#$%&"))
+                disguised[i] = u != x and len(u) > 2 and u in self.words
+        return np.stack([
+            hit, beginning, disguised, among(p, SECOND), (letters > 1) & (capitals == letters), letters, capitals, count(EXCLAIM), points, length - letters - count(DIGIT) - points,
+            (letters > 0) & (count(r"[^\pL'’\-]", inner) > 0), length, (long == 1) & (letters == 1),
+        ], axis=1).astype(np.float64)
+
+
+def spaced(unique: pa.Array, codes: np.ndarray, single: np.ndarray, offsets: np.ndarray, lex: Lexicons) -> np.ndarray:
     """For each text, the lexicon words spelled with a space after each letter, at least four letters."""
     out = np.zeros(len(offsets) - 1)
     s = np.flatnonzero(single)
@@ -84,7 +96,7 @@ def spaced(unique: list[str], codes: np.ndarray, single: np.ndarray, offsets: np
     cut = np.flatnonzero(np.concatenate([[True], (np.diff(s) != 1) | (np.diff(text) != 0), [True]]))
     for a, z in zip(cut[:-1], cut[1:], strict=True):
         if z - a >= 4:
-            joined = "".join(plain(unique[codes[i]]) for i in s[a:z])
+            joined = "".join(plain(unique[int(codes[i])].as_py()) for i in s[a:z])
             out[text[a] - 1] += any(joined[i:j] in lex.words for i in range(len(joined) - 3) for j in range(i + 4, min(len(joined), i + 20) + 1))
     return out
 
@@ -93,8 +105,7 @@ def measure(texts: pa.Array, lex: Lexicons) -> np.ndarray:
     """A row of FEATURES for each text."""
     flat, offsets = words(texts)
     codes, unique = coded(flat)
-    unique = unique.to_pylist()
-    table = np.array([lex.flags(w) for w in unique], np.float64).reshape(len(unique), 13)
+    table = lex.flags(unique)
     each = table[codes]
     total = sums(each, offsets)
     n = np.diff(offsets).astype(float)
@@ -248,23 +259,26 @@ def learn_lexicons(rows: DataFrame, least: int = 5) -> Lexicons:
 def featurise(lex: Lexicons):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(list(measure(b.column("text"), lex)), pa.list_(pa.float64()))], ["doc_id", "toxic", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), b.column("part"), pa.array(list(measure(b.column("text"), lex)), pa.list_(pa.float64()))], ["doc_id", "toxic", "part", "x"])
 
     return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     ship(docs.sparkSession)
-    rows = labelled(docs, labels, sample)
-    lex = learn_lexicons(rows)
-    got = sorted(rows.mapInArrow(featurise(lex), "doc_id long, toxic int, x array<double>").collect())
-    x, y = np.array([r.x for r in got]), np.array([r.toxic for r in got], float)
+    part = F.element_at(F.array(*[F.lit(x) for x in (0, 0, 1, 1, 2)]), (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5)) + 1).cast("int"))
+    rows = labelled(docs, labels, sample).withColumn("part", part)
+    sizes = [(r.toxic, r.n) for r in rows.groupBy("part", "toxic").agg(F.count("*").alias("n")).groupBy("part").agg(F.countDistinct("toxic").alias("toxic"), F.sum("n").alias("n")).collect()]
+    if len(sizes) < 3 or any(kinds < 2 or n < 20 for kinds, n in sizes):
+        rows = rows.withColumn("part", F.lit(None).cast("int"))
+    own = lambda i: F.coalesce(F.col("part") == i, F.lit(True))
+    lex = learn_lexicons(rows.filter(own(0)))
+    got = sorted(rows.filter(own(1) | own(2)).mapInArrow(featurise(lex), "doc_id long, toxic int, part int, x array<double>").collect(), key=lambda r: (r.doc_id, r.toxic, r.x))
+    x, y, kind = np.array([r.x for r in got]), np.array([r.toxic for r in got], float), [r.part for r in got]
     if not len(y) or y.min() == y.max():
         return Model(lex, None, np.zeros(1), np.array([y.mean() if len(y) else 0.0]))
-    rest = np.arange(len(y)) % 5 == 4
-    if y[rest].min(initial=1) == y[rest].max(initial=0) or rest.sum() < 20:
-        rest = np.ones(len(y), bool)
-    trees = grow(x[~rest] if not rest.all() else x, y[~rest] if not rest.all() else y)
+    grown, rest = (np.array([k is None or k == i for k in kind]) for i in (1, 2))
+    trees = grow(x[grown], y[grown])
     return Model(lex, trees, *isotonic(trees.raw(x[rest]), y[rest]))
 
 
