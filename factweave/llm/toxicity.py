@@ -3,9 +3,9 @@
 Features are densities of two lexicons learned from labelled texts (whole words and word beginnings), of words found only after
 undoing obfuscation (look-alike digits and signs, inner punctuation, stretched or spaced letters), nearness of second-person words, capitals, punctuation and symbols.
 
-Training takes about `sample` labelled documents, chosen by a hash of doc_id; the lexicons keep at most `LEXICON` entries of either kind. By another hash two fifths of the sample teach
-the lexicons, two fifths grow the trees and the rest calibrates, so that neither trees nor calibration see words that were learned from their own texts; where one of these parts has fewer than
-20 texts or only one kind of label, all three take the whole sample.
+Training takes about `sample` labelled documents, chosen by a hash of doc_id; the lexicons keep at most `LEXICON` entries of either kind. Another hash deals the sample into five parts, each measured with lexicons that the other four taught. The trees grow
+on four of them, the fifth calibrates. So neither trees nor calibration see words that were learned from their own texts; what scores other texts are the lexicons of all five. Where a part has fewer than 20 texts or
+only one kind of label, everything takes the whole sample.
 
 Edge cases: null, empty or blank texts have all features 0 and get the score that calibration gives these; null doc_ids aren't held out and never train;
 null labels don't train; without any label, or with labels of one kind only, the score is the share of toxic labels (0 if none); repeated rows each give a row; an empty table gives no rows; other columns are ignored.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from factweave.llm.langid import held_out
 from factweave.llm.util import coded, materialise, ship, slices, sums, words
 
-SAMPLE, LEXICON, PREFIX = 20_000, 3_000, 4
+SAMPLE, LEXICON, PREFIX, FOLDS = 20_000, 3_000, 4, 5
 #: Second-person words of English, German, French and Spanish.
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine deinen deiner euch euer ihr tu te toi ton ta tes vous votre vos tú ti usted ustedes tus".split())
 #: Signs that stand for letters.
@@ -229,11 +229,11 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
 
 
 def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, token, toxic texts, other texts) that have each word or beginning, for each slice of texts."""
+    """(kind, token, toxic texts and other texts by part) that have each word or beginning, for each slice of texts."""
     for b in slices(batches):
         flat, offsets = words(b.column("text"))
         codes, unique = coded(flat)
-        toxic = b.column("toxic").to_numpy()
+        toxic, part = b.column("toxic").to_numpy(), b.column("part").to_numpy()
         forms = [plain(w) for w in unique.to_pylist()]
         text = np.repeat(np.arange(len(toxic)), np.diff(offsets))
         for kind, each in (("word", forms), ("beginning", [w[:PREFIX] if len(w) >= PREFIX else "" for w in forms])):
@@ -241,45 +241,61 @@ def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = np.array([index.setdefault(w, len(index)) for w in each], np.int64)
             pairs = np.unique(text * len(index) + own[codes]) if len(own) else np.zeros(0, np.int64)
             t, w = pairs // max(1, len(index)), pairs % max(1, len(index))
-            yes, no = (np.bincount(w[toxic[t] == v], minlength=len(index)) for v in (1, 0))
-            yield pa.RecordBatch.from_pydict({"kind": [kind] * len(index), "token": list(index), "yes": pa.array(yes, pa.int64()), "no": pa.array(no, pa.int64())})
-
+            counts = {f"{name}{k}": pa.array(np.bincount(w[(toxic[t] == v) & (part[t] == k)], minlength=len(index)), pa.int64()) for v, name in ((1, "yes"), (0, "no")) for k in range(FOLDS)}
+            yield pa.RecordBatch.from_pydict({"kind": [kind] * len(index), "token": list(index), **counts})
+
+
+def learn_lexicons(rows: DataFrame, least: int = 5) -> list[Lexicons]:
+    """For each of FOLDS the lexicons of all other folds, and last those of all: words and beginnings at least ten times as common in toxic texts as in others and four standard errors over them. The driver gets
+    the entries that one of these has; what it gets is bounded by the sample."""
+    each = [f"{c}{k}" for c in ("yes", "no") for k in range(FOLDS)]
+    texts = rows.groupBy("part").agg(F.sum("toxic").alias("yes"), F.sum(1 - F.col("toxic")).alias("no")).collect()
+    size = {f"{c}{r.part}": r[c] for r in texts for c in ("yes", "no")}
+    counts = rows.mapInArrow(tokens, f"kind string, token string, {', '.join(f'{c} long' for c in each)}").filter("token <> ''").groupBy("kind", "token").agg(*[F.sum(c).alias(c) for c in each])
+    passing = []
+    for left_out in range(FOLDS + 1):
+        folds = [k for k in range(FOLDS) if k != left_out]
+        yes, no = (sum((F.col(f"{c}{k}") for k in folds[1:]), F.col(f"{c}{folds[0]}")) for c in ("yes", "no"))
+        all_yes, all_no = (sum(size.get(f"{c}{k}", 0) for k in folds) for c in ("yes", "no"))
+        odds = F.log((yes + 0.5) / (all_yes + 1)) - F.log((no + 0.5) / (all_no + 1))
+        good = (yes >= least) & (odds > float(np.log(10))) & (odds > 4 * F.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5)))
+        passing.append(F.when(good, odds * F.sqrt(yes)))
+    found = counts.select("kind", "token", F.array(*passing).alias("rank")).filter(F.exists("rank", lambda x: x.isNotNull())).collect()
+    out = []
+    for i in range(FOLDS + 1):
+        best = {kind: sorted((-r["rank"][i], r.token) for r in found if r.kind == kind and r["rank"][i] is not None)[:LEXICON] for kind in ("word", "beginning")}
+        out.append(Lexicons(*(frozenset(t for _, t in best[kind]) for kind in ("word", "beginning"))))
+    return out
 
-def learn_lexicons(rows: DataFrame, least: int = 5) -> Lexicons:
-    """Words and beginnings at least ten times as common in toxic texts as in others and four standard errors over them."""
-    n = rows.agg(F.sum("toxic").alias("yes"), F.sum(1 - F.col("toxic")).alias("no")).first()
-    yes, no = n.yes or 0, n.no or 0
-    counts = rows.mapInArrow(tokens, "kind string, token string, yes long, no long").filter("token <> ''").groupBy("kind", "token").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    odds = F.log((F.col("yes") + 0.5) / (yes + 1)) - F.log((F.col("no") + 0.5) / (no + 1))
-    found = counts.filter(F.col("yes") >= least).filter(odds > float(np.log(10))).filter(odds > 4 * F.sqrt(1 / (F.col("yes") + 0.5) + 1 / (F.col("no") + 0.5)))
-    kinds = {k: frozenset(r.token for r in found.filter(F.col("kind") == k).orderBy((odds * F.sqrt("yes")).desc(), "token").limit(LEXICON).collect()) for k in ("word", "beginning")}
-    return Lexicons(kinds["word"], kinds["beginning"])
 
+def featurise(lexicons: list[Lexicons]):
+    """Each text measured with the lexicons that its part asks for."""
 
-def featurise(lex: Lexicons):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), b.column("part"), pa.array(list(measure(b.column("text"), lex)), pa.list_(pa.float64()))], ["doc_id", "toxic", "part", "x"])
+            part = b.column("part").to_numpy()
+            for k in np.unique(part).tolist():
+                own = b.filter(pa.array(part == k))
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("toxic"), own.column("part"), pa.array(list(measure(own.column("text"), lexicons[k])), pa.list_(pa.float64()))], ["doc_id", "toxic", "part", "x"])
 
     return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     ship(docs.sparkSession)
-    part = F.element_at(F.array(*[F.lit(x) for x in (0, 0, 1, 1, 2)]), (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(5)) + 1).cast("int"))
-    rows = labelled(docs, labels, sample).withColumn("part", part)
+    rows = labelled(docs, labels, sample).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(FOLDS)).cast("int"))
     sizes = [(r.toxic, r.n) for r in rows.groupBy("part", "toxic").agg(F.count("*").alias("n")).groupBy("part").agg(F.countDistinct("toxic").alias("toxic"), F.sum("n").alias("n")).collect()]
-    if len(sizes) < 3 or any(kinds < 2 or n < 20 for kinds, n in sizes):
-        rows = rows.withColumn("part", F.lit(None).cast("int"))
-    own = lambda i: F.coalesce(F.col("part") == i, F.lit(True))
-    lex = learn_lexicons(rows.filter(own(0)))
-    got = sorted(rows.filter(own(1) | own(2)).mapInArrow(featurise(lex), "doc_id long, toxic int, part int, x array<double>").collect(), key=lambda r: (r.doc_id, r.toxic, r.x))
-    x, y, kind = np.array([r.x for r in got]), np.array([r.toxic for r in got], float), [r.part for r in got]
+    whole = len(sizes) < FOLDS or any(kinds < 2 or n < 20 for kinds, n in sizes)
+    lexicons = learn_lexicons(rows.withColumn("part", F.lit(0)) if whole else rows)
+    if whole:
+        rows, lexicons = rows.withColumn("part", F.lit(0)), lexicons[-1:] * (FOLDS + 1)
+    got = sorted(rows.mapInArrow(featurise(lexicons), "doc_id long, toxic int, part int, x array<double>").collect(), key=lambda r: (r.doc_id, r.toxic, r.x))
+    x, y, part = np.array([r.x for r in got]), np.array([r.toxic for r in got], float), np.array([r.part for r in got])
     if not len(y) or y.min() == y.max():
-        return Model(lex, None, np.zeros(1), np.array([y.mean() if len(y) else 0.0]))
-    grown, rest = (np.array([k is None or k == i for k in kind]) for i in (1, 2))
+        return Model(lexicons[-1], None, np.zeros(1), np.array([y.mean() if len(y) else 0.0]))
+    grown, rest = (part == part, part == part) if whole else (part < FOLDS - 1, part == FOLDS - 1)
     trees = grow(x[grown], y[grown])
-    return Model(lex, trees, *isotonic(trees.raw(x[rest]), y[rest]))
+    return Model(lexicons[-1], trees, *isotonic(trees.raw(x[rest]), y[rest]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
