@@ -24,8 +24,9 @@ def short_hash(prefix: str, *parts: Column, size: int = 12) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(text, 256), 1, size))
 
 
-def edge_id(source, target, relation, description=None, source_id=None, chunk_id=None, agent=None, session=None, valid_from=None) -> Column:
-    parts = (source, target, relation, description, source_id, chunk_id, agent, session, valid_from)
+def edge_id(source, target, relation, description=None, source_id=None, chunk_id=None, agent=None, valid_from=None) -> Column:
+    """What makes two assertions the same relation: these eight parts, nulls as empty."""
+    parts = (source, target, relation, description, source_id, chunk_id, agent, valid_from)
     return short_hash("e-", *[F.lit("") if p is None else p for p in parts])
 
 
@@ -40,7 +41,11 @@ def confidence(value: Column) -> Column:
 
 
 def parse_time(value: Column) -> Column:
-    """ISO dates and date-times to UTC without a zone, whole seconds; null if it can't be read. A 10-character date is its midnight."""
-    with_zone = F.expr("to_utc_timestamp(cast(null as timestamp), 'UTC')")
-    stamp = F.coalesce(F.try_to_timestamp(value), with_zone)
-    return F.date_trunc("second", stamp).cast("timestamp_ntz")
+    """ISO dates and date-times to UTC without a zone, whole seconds; null if it can't be read. A date is its midnight; a time without a zone is UTC, whatever the session's zone is."""
+    text = F.btrim(value)
+    zone = F.regexp_extract(text, r"(?:[zZ]|[+-]\d{2}:?\d{2})$", 0)
+    zone = F.when(F.length(text) > 10, zone).otherwise("")
+    local = F.substring(text, F.lit(1), F.length(text) - F.length(zone))
+    stamp = F.try_to_timestamp(F.concat(F.replace(local, F.lit(" "), F.lit("T")), F.when(F.length(local) == 10, "T00:00:00").when(F.length(local) == 16, ":00").otherwise(""), F.when(F.lower(zone).isin("", "z"), "+00:00").otherwise(zone)))
+    seconds = F.unix_seconds(stamp)
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}(?:[T ]|$)"), F.timestamp_add("SECOND", seconds, F.lit("1970-01-01").cast("timestamp_ntz")))

@@ -4,7 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from factweave.functions import keys, text
-from factweave.plans import models, router
+from factweave.plans import models
 
 
 def plain_split(t, size, overlap):
@@ -39,22 +39,56 @@ def test_keys(spark):
     assert tuple(row) == ("the `big` idea", "is_part_of", "2024-05-06 00:00:00", None)
 
 
+def test_edge_ids_have_eight_parts(spark):
+    import hashlib
+
+    row = spark.range(1).select(keys.edge_id(F.lit("a"), F.lit("b"), F.lit("uses"), F.lit("d"), None, F.lit("c#1"), F.lit("me"), F.lit("2024-01-01T00:00:00Z")).alias("e")).first()
+    assert row.e == "e-" + hashlib.sha256(b"a|b|uses|d||c#1|me|2024-01-01T00:00:00Z").hexdigest()[:12]
+
+
+def test_times_do_not_hang_on_the_session_zone(spark):
+    texts = ["2024-05-06", "2024-05-06T07:08:09Z", "2024-05-06T07:08:09+02:00", "2024-05-06 07:08", "2024-05-06T07:08:09.75", "soon", "", "2024-13-01", None]
+    want = ["2024-05-06 00:00:00", "2024-05-06 07:08:09", "2024-05-06 05:08:09", "2024-05-06 07:08:00", "2024-05-06 07:08:09", None, None, None, None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert [r.t for r in df.select("i", keys.parse_time(F.col("t")).cast("string").alias("t")).orderBy("i").collect()] == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_excerpts(spark):
+    texts = ["The cat  sat\non a mat", "x " * 200 + "the label here " + "y " * 200, "z" * 400]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.e for r in df.select("i", text.excerpt(F.col("t"), F.lit("Label")).alias("e")).collect()}
+    flat = " ".join(texts[1].split())
+    at = flat.index("label") - 93
+    assert got == {0: "The cat sat on a mat", 1: "..." + flat[at : at + 280] + "...", 2: "z" * 280 + "..."}
+
+
+def test_pair_counts(spark):
+    df = spark.createDataFrame([(1, "Solar grid solar grid. Grid lithium!"), (2, "Lithium grid."), (3, None), (4, "")], "doc_id long, text string")
+    by_doc = text.window_pairs(df).groupBy("a", "b").agg(F.sum("weight").alias("weight"), F.count("*").alias("docs"))
+    assert sorted(map(tuple, by_doc.collect())) == sorted(map(tuple, text.pair_counts(df).collect())) and text.pair_counts(df.limit(0)).count() == 0
+    assert sorted(map(tuple, by_doc.select("a", "b", "weight").collect())) == sorted(map(tuple, text.pair_weights(df).collect()))
+
+
 def test_lemma(spark):
     words = {"Studies": "study", "classes": "class", "cats": "cat", "bus": "bus", "glass": "glass", "famous": "famous", "is": "is", "'tis-": "tis"}
     df = spark.createDataFrame([(w,) for w in words], "w string").select("w", text.lemma(F.col("w")).alias("l"))
     assert {r.w: r.l for r in df.collect()} == words
 
 
-def test_models_and_router():
+def test_models():
     replies = iter(["no json", '```json\n{"a": 1}\n```'])
     assert models.ask_json(lambda s, p: next(replies), "", "x") == {"a": 1}
-    plan = router.choose("How is solar power connected to grid storage?", ["solar", "solar power", "grid storage"])
-    assert (plan.lens, plan.concepts) == ("path", ["solar power", "grid storage"])
 
 
 def plain_strip(raw):
-    raw = re.sub(r"(?is)<(script|style|noscript|svg)\b.*?</\1\s*>", " ", raw)
-    raw = re.sub(r"(?i)<br\s*/?>|</(?:p|div|li|h[1-6]|tr|section|article|blockquote|ul|ol|table|header|footer)\s*>", "\n", raw)
+    raw = re.sub(r"(?is)<(script|style|noscript|svg).*?</\1>", " ", raw)
+    raw = re.sub(r"(?i)<br\s*/?>|</(p|div|li|h[1-6]|tr|section|article)>", "\n", raw)
     raw = html.unescape(re.sub(r"<[^>]+>", " ", raw))
     return re.sub(r"\n\s*\n+", "\n\n", re.sub(r"[ \t]+", " ", raw)).strip()
 
