@@ -2,20 +2,63 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Writes df into the folder in spark.checkpoint.dir (a temporary one only where that is unset) and reads it back."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _own.setdefault(spark.sparkContext.applicationId, "") or _own.__setitem__(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="factweave-")) or _own[spark.sparkContext.applicationId]
-    path = f"{base.rstrip('/')}/factweave/round-{uuid.uuid4().hex}"
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one only where that is unset and all of Spark runs on this machine, as in tests."""
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="factweave-")
+    return _own[app]
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/factweave/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, name: str = "round") -> DataFrame:
+    """Writes df into the shared folder and reads it back."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    top = Path(__file__).resolve().parents[1]
+    out = os.path.join(tempfile.mkdtemp(prefix="factweave-ship-"), f"{top.name}.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    spark.sparkContext.addPyFile(out)
+    _shipped.add(app)
+
+
+def numbered(df: DataFrame, order: list[str], first: int = 0) -> DataFrame:
+    """Adds seq: first, first + 1, ... in this order. The driver adds up one count for each task, no task gets all rows."""
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
+    placed = settle(sorted_.withColumn("_id", F.monotonically_increasing_id()).withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_id"), "numbered")
+    base, starts = first, []
+    for part, n in sorted(tuple(r) for r in placed.groupBy("_part").count().collect()):
+        starts.append((part, base))
+        base += n
+    by_part = df.sparkSession.createDataFrame(starts, "_part long, _base long")
+    return placed.join(F.broadcast(by_part), "_part").withColumn("seq", F.col("_base") + F.col("_at")).drop("_part", "_at", "_base")
