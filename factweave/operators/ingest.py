@@ -10,14 +10,14 @@ from factweave.functions.text import split_text, window_pairs, words_of
 
 
 def sources(documents: DataFrame) -> DataFrame:
-    """documents(uri, title, text) with id, sha and chars; a text that came before under another uri is a copy (copy > 0)."""
+    """documents(uri, title, text) with id, sha and chars; a text that came before under another uri is a copy (copy > 0), whose id ends in -2, -3, and so on."""
     sha = F.sha2("text", 256)
     copy = F.row_number().over(Window.partitionBy("sha").orderBy("uri")) - 1
     made = documents.withColumns({"sha": sha, "chars": F.length("text")}).withColumn("copy", copy)
-    return made.withColumn("id", F.concat(F.lit("s-"), F.substring("sha", 1, 12), F.when(F.col("copy") > 0, F.concat(F.lit("-"), F.col("copy").cast("string"))).otherwise("")))
+    return made.withColumn("id", F.concat(F.lit("s-"), F.substring("sha", 1, 12), F.when(F.col("copy") > 0, F.concat(F.lit("-"), (F.col("copy") + 1).cast("string"))).otherwise("")))
 
 
-def chunks(found: DataFrame, size: int = 1200, overlap: int = 100, max_chunks: int | None = None) -> DataFrame:
+def chunks(found: DataFrame, size: int = 1500, overlap: int = 150, max_chunks: int | None = None) -> DataFrame:
     """(id, source_id, idx, text)."""
     each = found.select(F.col("id").alias("source_id"), F.posexplode(split_text(F.col("text"), size, overlap)).alias("idx", "text"))
     each = each if max_chunks is None else each.filter(F.col("idx") < max_chunks)
@@ -41,9 +41,11 @@ def cooccurrence(parts: DataFrame, min_count: int | None = None) -> tuple[DataFr
 def upsert_nodes(facts: DataFrame) -> DataFrame:
     """Concepts from facts(label, type, summary, attrs, seq): the first spelling, the last type that isn't `concept`, each summary that the ones before don't hold, later attributes over earlier ones."""
     keyed = facts.withColumn("id", node_key(F.col("label"))).filter("id <> ''")
-    folded = keyed.groupBy("id").agg(F.min_by(F.btrim("label"), "seq").alias("label"), F.max_by("type", F.when(F.col("type") != "concept", F.col("seq"))).alias("type"), F.array_sort(F.collect_list(F.struct("seq", "summary", "attrs"))).alias("f"))
+    folded = keyed.groupBy("id").agg(F.min_by(F.btrim("label"), "seq").alias("label"), F.max_by("type", F.when(F.col("type") != "concept", F.col("seq"))).alias("type"), F.array_sort(F.collect_list(F.struct("seq", "summary", F.map_entries("attrs").alias("attrs")))).alias("f"))
     summary = F.aggregate("f", F.lit(""), lambda a, x: F.when(F.coalesce(x["summary"], F.lit("")).isin("") | F.contains(a, F.coalesce(x["summary"], F.lit(""))), a).when(a == "", x["summary"]).otherwise(F.concat(a, F.lit(" "), x["summary"])))
-    attrs = F.aggregate("f", F.create_map().cast("map<string,string>"), lambda a, x: F.map_concat(F.map_filter(a, lambda k, v: ~F.coalesce(F.map_contains_key(x["attrs"], k), F.lit(False))), F.coalesce(x["attrs"], F.create_map().cast("map<string,string>"))))
+    none = F.create_map().cast("map<string,string>")
+    over = lambda old, new: F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new)
+    attrs = F.aggregate("f", none, lambda a, x: over(a, F.coalesce(F.map_from_entries(x["attrs"]), none)))
     return folded.select("id", "label", F.coalesce("type", F.lit("concept")).alias("type"), summary.alias("summary"), attrs.alias("attrs"))
 
 

@@ -45,18 +45,31 @@ def first_seen(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("source", "target")).alias("node"), "valid_from").groupBy("node").agg(F.min("valid_from").alias("first_seen"))
 
 
+def time_range(edges: DataFrame) -> DataFrame:
+    """One row: the first and the last time at which something begins or ends."""
+    return edges.select(F.explode(F.array("valid_from", "valid_to")).alias("at")).agg(F.min("at").alias("first"), F.max("at").alias("last"))
+
+
 def time_marks(edges: DataFrame, last: int = 400) -> DataFrame:
     """The last distinct times at which something begins or ends."""
     return edges.select(F.explode(F.array("valid_from", "valid_to")).alias("at")).filter("at is not null").distinct().orderBy(F.col("at").desc()).limit(last)
 
 
-def timeline(edges: DataFrame, node: str) -> DataFrame:
-    """(at, event, relation, source, target, id) of a concept, in order of time: first seen, relations added and closed."""
+def timeline(edges: DataFrame, node: str, conflicts: DataFrame | None = None, created: DataFrame | None = None) -> DataFrame:
+    """(at, event, relation, source, target, id) of a concept, in order of time: first seen (its own `created`(at), or an earlier relation), relations added and closed, and conflicts(id, edge_a, edge_b, created_at)
+    in which one of its relations stands."""
     own = edges_of(edges, node, closed=True)
     what = ["relation", "source", "target", "id"]
     added, closed = own.select(F.col("valid_from").alias("at"), F.lit("relation added").alias("event"), *what), own.filter("valid_to is not null").select(F.col("valid_to").alias("at"), F.lit("relation closed").alias("event"), *what)
     seen = own.agg(F.min("valid_from").alias("at")).select("at", F.lit("first seen").alias("event"), *[F.lit(None).cast("string").alias(c) for c in what])
-    return seen.unionByName(added).unionByName(closed).orderBy("at", "event", "id")
+    if created is not None:
+        seen = seen.unionByName(created.select("at", F.lit("first seen").alias("event"), *[F.lit(None).cast("string").alias(c) for c in what])).groupBy("event").agg(F.min("at").alias("at"), *[F.first(c).alias(c) for c in what]).select(*seen.columns)
+    out = seen.unionByName(added).unionByName(closed)
+    if conflicts is not None:
+        ids = own.select("id").distinct()
+        ours = conflicts.join(ids.withColumnRenamed("id", "edge_a"), "edge_a", "left_semi").unionByName(conflicts.join(ids.withColumnRenamed("id", "edge_b"), "edge_b", "left_semi")).dropDuplicates(["id"])
+        out = out.unionByName(ours.select(F.col("created_at").alias("at"), F.lit("conflict recorded").alias("event"), F.col("verdict").alias("relation"), F.col("edge_a").alias("source"), F.col("edge_b").alias("target"), "id"))
+    return out.orderBy("at", "event", "id")
 
 
 def edge_counts(edges: DataFrame) -> DataFrame:

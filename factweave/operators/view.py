@@ -26,9 +26,24 @@ def proximity(mentions: DataFrame, crowd: int = CROWD) -> DataFrame:
     return groups.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("shared"))
 
 
-def build_view(edges: DataFrame, mentions: DataFrame | None = None) -> DataFrame:
-    pairs = relation_pairs(edges)
-    if mentions is not None:
+def chosen(edges: DataFrame, nodes: DataFrame | None = None, relations: list[str] | None = None, types: list[str] | None = None) -> DataFrame:
+    """Edges of these relations, and only those whose ends are both among nodes(id, type) of these types."""
+    found = edges if not relations else edges.filter(F.col("relation").isin(*relations))
+    if nodes is None:
+        return found
+    kept = nodes if not types else nodes.filter(F.col("type").isin(*types))
+    for end in ("source", "target"):
+        found = found.join(kept.select(F.col("id").alias(end)), end, "left_semi")
+    return found
+
+
+def build_view(edges: DataFrame, mentions: DataFrame | None = None, nodes: DataFrame | None = None, relations: list[str] | None = None, types: list[str] | None = None) -> DataFrame:
+    """(a, b, weight) of edges, and of nearness where mentions(chunk_id, node_id) are given; choosing relations leaves nearness out."""
+    pairs = relation_pairs(chosen(edges, nodes, relations, types))
+    if mentions is not None and not relations:
+        if nodes is not None:
+            kept = nodes if not types else nodes.filter(F.col("type").isin(*types))
+            mentions = mentions.join(kept.select(F.col("id").alias("node_id")), "node_id", "left_semi")
         pairs = pairs.unionByName(proximity(mentions).select("a", "b", F.col("shared").cast("double").alias("weight")))
     return pairs.groupBy("a", "b").agg(F.sum("weight").alias("weight"))
 
@@ -73,9 +88,9 @@ def community_links(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(la, "a").join(lb, "b").filter("la <> lb").groupBy(F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb")).agg(F.sum("weight").alias("observed"))
 
 
-def structural_gaps(pairs: DataFrame, labels: DataFrame, top: int = 5, least: int = 3, groups: int = 12) -> DataFrame:
-    """(la, lb, score, observed, expected) of the largest groups with at most half the links that their strengths predict. Groups are named in order of size, then of their first member; at most `groups` of them
-    are compared, which bounds the pairs."""
+def structural_gaps(pairs: DataFrame, labels: DataFrame, top: int = 5, least: int = 3, groups: int = 12, centrality: DataFrame | None = None) -> DataFrame:
+    """(la, lb, score, observed, expected, smaller) of the largest groups with at most half the links that their strengths predict, and with centrality(node, betweenness, degree) each side's three most central
+    members as `bridge_a` and `bridge_b`. Groups are named in order of size, then of their first member; at most `groups` of them are compared, which bounds the pairs."""
     sizes = labels.groupBy("label").agg(F.count("*").alias("size"), F.min("node").alias("first"))
     strength = both(pairs).join(labels.withColumnRenamed("node", "x"), "x").groupBy("label").agg(F.sum("weight").alias("volume"))
     known = sizes.join(strength, "label").filter(F.col("size") >= least).orderBy(F.col("size").desc(), "first").limit(groups)
@@ -85,7 +100,15 @@ def structural_gaps(pairs: DataFrame, labels: DataFrame, top: int = 5, least: in
     expected = F.col("volume_a") * F.col("volume_b") / F.col("m2")
     scored = met.withColumn("expected", expected).withColumn("observed", F.coalesce("observed", F.lit(0.0))).withColumn("raw", F.greatest(F.lit(0.0), 1 - F.col("observed") / F.col("expected"))).filter("expected > 0 and raw >= 0.5")
     out = scored.select("la", "lb", F.round("raw", 3).alias("score"), F.round("observed", 2).alias("observed"), F.round("expected", 2).alias("expected"), F.least("size_a", "size_b").alias("smaller"))
-    return out.orderBy((-F.col("score") * F.log(2 + F.col("smaller"))), "la", "lb").limit(top)
+    order = ((-F.col("score") * F.log(2 + F.col("smaller"))), "la", "lb")
+    first = out.orderBy(*order).limit(top)
+    if centrality is None:
+        return first
+    rank = Window.partitionBy("label").orderBy(F.col("betweenness").desc(), F.col("degree").desc(), "node")
+    best = labels.join(centrality, "node").withColumn("r", F.row_number().over(rank)).filter("r <= 3").groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "node"))), lambda x: x["node"]).alias("best"))
+    for x in "ab":
+        first = first.join(best.select(F.col("label").alias(f"l{x}"), F.col("best").alias(f"bridge_{x}")), f"l{x}", "left")
+    return first.orderBy(*order)
 
 
 def bridges(pairs: DataFrame, labels: DataFrame) -> DataFrame:

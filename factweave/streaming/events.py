@@ -7,8 +7,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+#: Stateful operators need the RocksDB state store: spark.sql.streaming.stateStore.providerClass.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 EVENT = "seq long, at timestamp, kind string, data string"
 
 
@@ -35,13 +37,55 @@ def sessions(events: DataFrame, at: str, user: str, gap: str = "30 minutes", lat
     return rows.groupBy(F.session_window(at, gap).alias("w"), F.col(user).alias("user")).agg(F.count("*").alias("n")).select("user", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+class _First(StatefulProcessor):
+    """Keeps whether an edge is closed; of the closings that come together the one with the smallest seq counts, as in the batch fold."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.closed = handle.getValueState("closed", "seq long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802 - the interface's name
+        first = pd.concat(list(rows)).nsmallest(1, "seq")
+        if not self.closed.exists():
+            self.closed.update((int(first["seq"].iloc[0]),))
+            yield first[["edge", "seq", "at", "by"]]
+
+    def close(self) -> None:
+        pass
+
+
 def first_closings(closings: DataFrame) -> DataFrame:
-    """The closing of each edge that came first, on a stream of closings(edge, at, by): state is one flag for each edge. As in the batch fold, later ones change nothing."""
+    """The first closing of each edge on a stream of closings(edge, seq, at, by) that comes in order of seq: state is one number for each edge. Later ones change nothing."""
+    return closings.groupBy("edge").transformWithStateInPandas(_First(), "edge string, seq long, at timestamp, by string", "append", "none")
+
+
+def current_versions(sources: DataFrame) -> DataFrame:
+    """(old, by, uri, at): on a stream of sources(seq, uri, id, at) each version that a later one of its address takes the place of. State is one id for each address."""
+    return sources.groupBy("uri").transformWithStateInPandas(_Versions(), "uri string, old string, by string, at timestamp", "append", "none")
+
+
+class _Versions(StatefulProcessor):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "id string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
+        now, out = self.last.get()[0] if self.last.exists() else None, []
+        for r in pd.concat(list(rows)).sort_values("seq").itertuples():
+            if now is not None and now != r.id:
+                out.append((r.uri, now, r.id, r.at))
+            now = r.id
+        self.last.update((now,))
+        yield pd.DataFrame(out, columns=["uri", "old", "by", "at"]).astype({"uri": object, "old": object, "by": object, "at": "datetime64[ns]"})
+
+    def close(self) -> None:
+        pass
+
+
+def live_page(log: DataFrame, render: Callable[[DataFrame], str], write: Callable[[str], None], checkpoint: str, every: str = "2 seconds", once: bool = False) -> StreamingQuery:
+    """Renders a page again whenever a stream of events brings new ones: render(the new events) gives the page, write(page) puts it where its readers look."""
 
-    def keep(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values("at", kind="stable")
-        if not state.exists:
-            state.update((True,))
-            yield rows.head(1)[["edge", "at", "by"]]
+    def again(batch: DataFrame, n: int) -> None:
+        if not batch.isEmpty():
+            write(render(batch))
 
-    return closings.groupBy("edge").applyInPandasWithState(keep, "edge string, at timestamp, by string", "closed boolean", "append", "NoTimeout")
+    out = log.writeStream.foreachBatch(again).option("checkpointLocation", checkpoint)
+    return (out.trigger(availableNow=True) if once else out.trigger(processingTime=every)).start()
