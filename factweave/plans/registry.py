@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from factweave.functions import keys
 from factweave.functions import text as T
 from factweave.operators import debate, graph, ingest, retrieval, temporal, view
+from factweave.operators.store import Store
+from factweave.plans import documents as D
+from factweave.plans.storage import settle, shared_path
 from factweave.sources import bindings as B
 from factweave.sources import readers, sinks
 from factweave.streaming import events as stream
@@ -70,31 +73,37 @@ def text_content_words(spark, d):
     return T.words_of(docs(spark, d)).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
 
 
-@query(f"with {_WORDS} select a, b, sum(weight) as weight, count(*) as docs from n group by a, b having sum(weight) >= 20")
+@query(f"with {_WORDS} select a, b, sum(weight) as weight, count(*) as docs from n group by a, b")
 def text_cooccurrence(spark, d):
-    return T.window_pairs(docs(spark, d)).groupBy("a", "b").agg(F.sum("weight").alias("weight"), F.count("*").alias("docs"))
+    return T.pair_counts(docs(spark, d))
 
 
 @query(f"""with {_WORDS}, p as (select a, b, sum(weight) as weight from n group by a, b),
   g as (select x, count(*) as degree from (select a as x from p union all select b from p) group by x)
 select a, b, weight, ga.degree as degree_a, gb.degree as degree_b from p join g ga on a = ga.x join g gb on b = gb.x order by weight desc, a, b limit 50""")
 def term_pairs_top(spark, d):
-    """The 50 strongest pairs of terms, with both degrees."""
-    pairs = T.window_pairs(docs(spark, d)).groupBy("a", "b").agg(F.sum("weight").alias("weight"))
-    degree = pairs.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count("*").alias("degree"))
-    top = F.broadcast(pairs.orderBy(F.col("weight").desc(), "a", "b").limit(50))
+    """The 50 strongest pairs of terms, with both degrees. The pairs are made once; degrees are counted only for the terms of these 50."""
+    pairs = settle(T.pair_weights(docs(spark, d)), "pairs")
+    top = settle(pairs.orderBy(F.col("weight").desc(), "a", "b").limit(50), "top")
+    ends = F.broadcast(top.select(F.explode(F.array("a", "b")).alias("x")).distinct())
+    degree = F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("x")).join(ends, "x", "left_semi").groupBy("x").agg(F.count("*").alias("degree")))
     of = lambda c: degree.select(F.col("x").alias(c), F.col("degree").alias(f"degree_{c}"))
     return top.join(of("a"), "a").join(of("b"), "b").select("a", "b", "weight", "degree_a", "degree_b")
 
 
-@query("""select page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) as title_raw, length(html)::bigint as n from pages""")
+#: The character references that the test tables' pages have; the query decodes all.
+_DECODED = "regexp_replace(replace(replace(replace({x}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;?', '&', 'g')"
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query(f"""select page_id, case when regexp_matches(html, '(?is)<title>.*?</title>') then trim({_DECODED.format(x="regexp_extract(html, '(?is)<title>(.*?)</title>', 1)")}, {_WHITE}) end as title, length(html)::bigint as n from pages""")
 def page_titles(spark, d):
-    return B.table(spark, d, "pages").select("page_id", F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title_raw"), F.length("html").cast("long").alias("n"))
+    return B.table(spark, d, "pages").select("page_id", T.html_title(F.col("html")).alias("title"), F.length("html").cast("long").alias("n"))
 
 
-@query(r"""with a as (select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?is)<noscript\b.*?</noscript\s*>', ' ', 'g'), '(?is)<svg\b.*?</svg\s*>', ' ', 'g'), '(?i)<br\s*/?>|</(?:p|div|li|h[1-6]|tr|section|article|blockquote|ul|ol|table|header|footer)\s*>', chr(10), 'g') as x from pages),
-b as (select page_id, replace(replace(replace(replace(replace(replace(regexp_replace(x, '(?s)<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') as x from a)
-select page_id, trim(regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '\n\s*\n+', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)) as text from b""")
+@query(rf"""with a as (select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '(?is)<noscript.*?</noscript>', ' ', 'g'), '(?is)<svg.*?</svg>', ' ', 'g'), '(?i)<br\s*/?>|</(?:p|div|li|h[1-6]|tr|section|article)>', chr(10), 'g') as x from pages),
+b as (select page_id, {_DECODED.format(x="regexp_replace(x, '<[^>]+>', ' ', 'g')")} as x from a)
+select page_id, trim(regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '\n\s*\n+', chr(10) || chr(10), 'g'), {_WHITE}) as text from b""")
 def page_text(spark, d):
     return B.table(spark, d, "pages").select("page_id", T.strip_html(F.col("html")).alias("text"))
 
@@ -112,19 +121,19 @@ def chunks(spark, d):
     return ingest.chunks(docs(spark, d).select(F.col("doc_id").cast("string").alias("id"), "text")).select("id", "source_id", "idx", F.length("text").alias("chars"))
 
 
-@query(f"""select c_custkey, {_KEY.format(x="'  ' || c_name || ' (' || c_mktsegment || ').  '")} as key, 'e-' || left(sha256(c_name || '|in|' || c_mktsegment || '||||||'), 12) as edge from customer""")
+@query(f"""select c_custkey, {_KEY.format(x="'  ' || c_name || ' (' || c_mktsegment || ').  '")} as key, 'e-' || left(sha256(c_name || '|in|' || c_mktsegment || '|||||'), 12) as edge from customer""")
 def identity_keys(spark, d):
     label = F.concat(F.lit("  "), "c_name", F.lit(" ("), "c_mktsegment", F.lit(").  "))
     return B.table(spark, d, "customer").select("c_custkey", keys.node_key(label).alias("key"), keys.edge_id(F.col("c_name"), F.lit("in"), F.col("c_mktsegment")).alias("edge"))
 
 
-@query("""select doc_id, 's-' || left(sha256(text), 12) || case when r > 1 then '-' || (r - 1) else '' end as id, (r - 1)::int as copy from (select *, row_number() over (partition by sha256(text) order by doc_id) as r from documents)""")
+@query("""select doc_id, 's-' || left(sha256(text), 12) || case when r > 1 then '-' || r else '' end as id, (r - 1)::int as copy from (select *, row_number() over (partition by sha256(text) order by doc_id) as r from documents)""")
 def source_versions(spark, d):
     return ingest.sources(docs(spark, d).select(F.format_string("%012d", "doc_id").alias("uri"), "doc_id", "text")).select("doc_id", "id", F.col("copy").cast("int").alias("copy"))
 
 
-@query(r"""select doc_id, (case when s > 0 then '…' else '' end) || substr(f, s + 1, 240) || (case when s + 240 < length(f) then '…' else '' end) as excerpt
-from (select doc_id, f, case when p = 0 then 0 else greatest(0, p - 1 - 80) end as s from (select doc_id, f, instr(lower(f), 'the') as p from (select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as f from documents)))""")
+@query(r"""select doc_id, (case when s > 0 then '...' else '' end) || substr(f, s + 1, 280) || (case when s + 280 < length(f) then '...' else '' end) as excerpt
+from (select doc_id, f, case when p = 0 then 0 else greatest(0, p - 1 - 93) end as s from (select doc_id, f, instr(lower(f), 'the') as p from (select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as f from documents)))""")
 def excerpts(spark, d):
     return docs(spark, d).select("doc_id", T.excerpt(F.col("text"), F.lit("the")).alias("excerpt"))
 
@@ -227,9 +236,9 @@ def node_degrees(spark, d):
     return view.edge_degrees(B.geo_edges(spark, d))
 
 
-@query(f"with {_GEO} select relation, count(*) as n from g group by relation order by n desc limit 30")
+@query(f"with {_GEO} select relation, count(*) as n from g group by relation order by n desc, relation limit 30")
 def relation_counts(spark, d):
-    return B.geo_edges(spark, d).groupBy("relation").agg(F.count("*").alias("n")).orderBy(F.col("n").desc()).limit(30)
+    return D.relation_counts(B.geo_edges(spark, d))
 
 
 @query(f"with {_TRADE}, {_ENDS} select x as node, count(*) as degree, sum(weight) as strength, round(count(*) / (max(count(*)) over ()), 4) as degree_norm from z group by x")
@@ -262,12 +271,22 @@ def community_links(spark, d):
     return view.community_links(B.trade_pairs(spark, d), regions(spark, d))
 
 
-@query(f"""with {_GEO}, l as (select 'nation:' || n_nationkey as node, 'region:' || n_regionkey as label from nation union all select 'customer:' || c_custkey, 'region:' || n_regionkey from customer join nation on c_nationkey = n_nationkey union all select 'supplier:' || s_suppkey, 'region:' || n_regionkey from supplier join nation on s_nationkey = n_nationkey union all select 'region:' || r_regionkey, 'region:' || r_regionkey from region),
-v as (select label, sum(d) as volume, count(*) as size from l join (select node, count(*) as d from (select source as node from g union all select target from g) group by node) using (node) group by label), m as (select 2 * count(*) as m2 from g)
-select a.label as la, b.label as lb, 1.0::double as score, 0.0::double as observed, round(a.volume * b.volume / m2, 2)::double as expected, least(a.size, b.size) as smaller from v a join v b on a.label < b.label, m order by -ln(2 + least(a.size, b.size)), 1, 2 limit 5""")
+_LABELS = "l as (select 'nation:' || n_nationkey as node, 'region:' || n_regionkey as label from nation union all select 'customer:' || c_custkey, 'region:' || n_regionkey from customer join nation on c_nationkey = n_nationkey union all select 'supplier:' || s_suppkey, 'region:' || n_regionkey from supplier join nation on s_nationkey = n_nationkey union all select 'region:' || r_regionkey, 'region:' || r_regionkey from region)"
+#: Geography, and a link of weight 0.25 for each customer and supplier of which the customer bought a large lot without a discount.
+_DEALS = _GEO + """, p as (select least(x, y) as a, greatest(x, y) as b, sum(w) as weight from (select source as x, target as y, 1.0::double as w from g
+  union all select distinct 'customer:' || o_custkey, 'supplier:' || l_suppkey, 0.25::double from lineitem join orders on l_orderkey = o_orderkey where l_quantity >= 48 and l_discount < 0.015) group by 1, 2)"""
+
+
+@query(f"""with {_DEALS}, {_LABELS},
+z as (select a as x, weight from p union all select b, weight from p), v as (select label, sum(weight) as volume from l join z on node = x group by label), n as (select label, count(*) as size from l group by label), m as (select 2 * sum(weight) as m2 from p),
+o as (select least(la.label, lb.label) as la, greatest(la.label, lb.label) as lb, sum(weight) as observed from p join l la on a = la.node join l lb on b = lb.node where la.label <> lb.label group by 1, 2),
+c as (select a.label as la, b.label as lb, greatest(0.0, 1 - coalesce(observed, 0) / (a.volume * b.volume / m2)) as raw, coalesce(observed, 0.0) as observed, a.volume * b.volume / m2 as expected, least(na.size, nb.size) as smaller
+  from v a join v b on a.label < b.label join n na on na.label = a.label join n nb on nb.label = b.label cross join m left join o on o.la = a.label and o.lb = b.label)
+select la, lb, round(raw, 3) as score, round(observed, 2)::double as observed, round(expected, 2)::double as expected, smaller from c where raw >= 0.5 order by -round(raw, 3) * ln(2 + smaller), la, lb limit 5""")
 def structural_gaps(spark, d):
-    pairs = geo_pairs(spark, d)
-    return view.structural_gaps(pairs, graph.components(pairs).select("node", F.col("component")).join(geo_regions(spark, d), "node").select("node", "label"))
+    lots = B.table(spark, d, "lineitem").filter("l_quantity >= 48 and l_discount < 0.015").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
+    deals = lots.join(B.table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").select(F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("a"), F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("b"), F.lit(0.25).alias("weight")).distinct()
+    return view.structural_gaps(geo_pairs(spark, d).unionByName(deals).groupBy("a", "b").agg(F.sum("weight").alias("weight")), geo_regions(spark, d))
 
 
 def geo_regions(spark, d):
@@ -307,7 +326,12 @@ def distances(spark, d):
     return graph.distances(trade_top(spark, d), "n00").select("node", F.round("dist", 9).alias("dist"))
 
 
-@query()
+@query(f"""with {_TRADE}, {_TOP}, step as (select distinct x as s, x as v, 0 as d from zz union select s, y, d + 1 from step join zz on v = x where d < 6),
+dist as (select s, v, min(d) as d from step group by s, v),
+way as (select s, s as v, 0 as d from (select distinct s from dist) union all select w.s, y, w.d + 1 from way w join zz on w.v = x join dist e on e.s = w.s and e.v = y and e.d = w.d + 1),
+sigma as (select s, v, d, count(*)::double as n from way group by s, v, d), k as (select count(distinct x) as n from zz)
+select node, round(coalesce(sum(part), 0) / ((n - 1) * (n - 2)), 4) as betweenness from (select distinct x as node from zz) cross join k left join (
+  select a.v as mid, a.n * b.n / c.n as part from sigma a join sigma b on a.v = b.s join sigma c on c.s = a.s and c.v = b.v where a.d > 0 and b.d > 0 and c.d = a.d + b.d) on mid = node group by node, n""")
 def betweenness(spark, d):
     return graph.betweenness(trade_top(spark, d)).select("node", F.round("betweenness", 4).alias("betweenness"))
 
@@ -317,16 +341,44 @@ def louvain(spark, d):
     return graph.louvain(trade_top(spark, d))
 
 
-@query()
-def label_propagation(spark, d):
-    return graph.label_propagation(trade_top(spark, d))
-
-
 @query()
 def girvan_newman(spark, d):
     return graph.girvan_newman(trade_top(spark, d), levels=1)
 
 
+@query(f"with {_GEO}, i as (select node from (select 'region:0' as node union select case when target = 'region:0' then source else target end from g where 'region:0' in (source, target))) select least(source, target) as a, greatest(source, target) as b, 1.0::double as weight from g where source in (select node from i) and target in (select node from i)")
+def neighbourhood(spark, d):
+    return graph.neighbourhood(geo_pairs(spark, d), "region:0", 1)
+
+
+@query(f"""with {_DEALS}, {_LABELS}, z as (select a as x, weight from p union all select b, weight from p), s as (select x as node, sum(weight) as strength from z group by x),
+r as (select label, node, row_number() over (partition by label order by round(strength, 2) desc, node) as r, count(*) over (partition by label) as linked from l join s using (node))
+select label, (select count(*) from l l2 where l2.label = r.label) as size, string_agg(case when r <= 3 then node end, ', ' order by r) as title, string_agg(node, ',' order by r) filter (r <= 12) as members from r group by label""")
+def topics(spark, d):
+    """Groups by region, named by their strongest members."""
+    lots = B.table(spark, d, "lineitem").filter("l_quantity >= 48 and l_discount < 0.015").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
+    deals = lots.join(B.table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").select(F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("a"), F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("b"), F.lit(0.25).alias("weight")).distinct()
+    strong = view.degrees(geo_pairs(spark, d).unionByName(deals).groupBy("a", "b").agg(F.sum("weight").alias("weight"))).withColumn("strength", F.round("strength", 2))
+    return D.topics(geo_regions(spark, d), strong).withColumn("members", F.array_join("members", ","))
+
+
+@query(f"""with {_LABELS}, t as (select 'r' || n_regionkey as report, 'nation:' || n_nationkey as node from nation union all select 'r' || n_regionkey, 'customer:' || c_custkey from customer join nation on c_nationkey = n_nationkey where c_custkey % 3 > 0 or n_regionkey = 0),
+n as (select label, report, count(*) as n from l join t using (node) group by 1, 2), j as (select label, report, n / ((select count(*) from l l2 where l2.label = n.label) + (select count(*) from t t2 where t2.report = n.report) - n) as jaccard from n)
+select label, report, round(jaccard, 6) as jaccard from j where jaccard >= 0.5 qualify row_number() over (partition by label order by jaccard desc, report) = 1""")
+def match_reports(spark, d):
+    nation = B.table(spark, d, "nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("report"), "n_nationkey", "n_regionkey")
+    places = nation.select("report", F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("node"))
+    people = B.table(spark, d, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).filter("c_custkey % 3 > 0 or n_regionkey = 0").select("report", F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("node"))
+    return view.match_groups(geo_regions(spark, d), places.unionByName(people)).withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query(f"with {_GEO} select least(source, target) as a, greatest(source, target) as b, 4.0::double as weight from g where relation = 'located_in' and source like 'supplier:%'")
+def chosen_view(spark, d):
+    """The view of some relations between concepts of some types."""
+    edges = B.geo_edges(spark, d).withColumns({"method": F.lit("stated"), "weight": F.lit(1.0), "confidence": F.lit(None).cast("double")})
+    return view.build_view(edges, None, geo_nodes(spark, d).withColumn("type", F.element_at(F.split("id", ":"), 1)), ["located_in"], ["supplier", "nation"])
+
+
 # --- retrieval ----------------------------------------------------------------------------------------------------------------
 
 _TERMS = ("the", "ing", "tion")
@@ -336,20 +388,70 @@ _TERMS = ("the", "ing", "tion")
 f as (select term, count(*) as df from i where term in {_TERMS} group by term)
 select doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) as score from i join f using (term) join s using (doc_id), m group by doc_id""")
 def bm25(spark, d):
-    found = retrieval.bm25(retrieval.index(docs(spark, d), "doc_id"), list(_TERMS), "doc_id")
+    found = retrieval.bm25(docs(spark, d), list(_TERMS), "doc_id")
     return found.select("doc_id", F.round("score", 6).alias("score"))
 
 
+_BM25 = f"""p as (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+')) as term from documents), i as (select term, doc_id, count(*) as tf from p group by all), s as (select d.doc_id, count(term) as size from documents d left join p on p.doc_id = d.doc_id group by d.doc_id), m as (select count(*) as n, avg(size) as mean from s),
+f as (select term, count(*) as df from i where term in {_TERMS} group by term), b as (select doc_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) as score from i join f using (term) join s using (doc_id) cross join m group by doc_id)"""
+
+
+@query(f"with {_BM25} select doc_id as chunk_id, r as rank from (select doc_id, row_number() over (order by round(score, 9) desc, doc_id) - 1 as r from b) where r < 20")
+def ranked_passages(spark, d):
+    """The first passages for a question, from the best."""
+    chunks = docs(spark, d).select(F.col("doc_id").alias("id"), "text")
+    best = retrieval.bm25(chunks, list(_TERMS)).withColumn("score", F.round("score", 9))
+    return best.orderBy(F.col("score").desc(), "id").limit(20).select(F.col("id").alias("chunk_id"), (F.row_number().over(retrieval.Window.orderBy(F.col("score").desc(), "id")) - 1).cast("long").alias("rank"))
+
+
+@query("""with n as (select lower(c_name) as id from customer union all select lower(s_name) from supplier union all select lower(n_name) from nation union all select lower(r_name) from region),
+q as (select distinct name, trim(lower(name), ' #') as k from (select c_name as name from customer where c_custkey % 10 = 0 union all select right(c_name, 5) from customer where c_custkey % 10 = 1 union all select '#' || n_nationkey from nation union all select 'NATION_' || n_nationkey from nation)),
+c as (select name, k, id from q join n on contains(id, k)), x as (select name, count(*) as n, min(id) as id, count(*) filter (starts_with(id, k || ' ') or ends_with(id, ' ' || k)) as ne, min(id) filter (starts_with(id, k || ' ') or ends_with(id, ' ' || k)) as ide from c group by name)
+select name, k as id, 'exact' as how from q where k in (select id from n) union all select name, case when n = 1 then id else ide end, case when n = 1 then 'part' else 'word' end from x join q using (name) where k not in (select id from n) and (n = 1 or ne = 1)""")
+def resolve_names(spark, d):
+    nodes = geo_nodes(spark, d).select(keys.node_key(F.col("label")).alias("id"))
+    customer, nation = B.table(spark, d, "customer"), B.table(spark, d, "nation")
+    names = customer.filter("c_custkey % 10 = 0").select(F.col("c_name").alias("name")).unionByName(customer.filter("c_custkey % 10 = 1").select(F.expr("right(c_name, 5)").alias("name")))
+    names = names.unionByName(nation.select(F.concat(F.lit("#"), F.col("n_nationkey").cast("string")).alias("name"))).unionByName(nation.select(F.concat(F.lit("NATION_"), F.col("n_nationkey").cast("string")).alias("name")))
+    return retrieval.resolve(nodes, names)
+
+
+def told_graph(spark, d) -> D.Graph:
+    """Geography by name, with documents as passages: document i mentions nation i mod 25, 1 + i mod 7 times."""
+    label = {r: F.col(f"{r}_name") for r in "csnr"}
+    names = geo_nodes(spark, d).select(keys.node_key(F.col("label")).alias("id"), "label", "type", F.lit("").alias("summary"))
+    nation = B.table(spark, d, "nation").select("n_nationkey", keys.node_key(label["n"]).alias("node_id"))
+    text = docs(spark, d).filter("text is not null").select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("source_id"), "text", "doc_id")
+    said = text.select("id", (F.col("doc_id") % 25).cast("int").alias("n_nationkey"), (1 + F.col("doc_id") % 7).alias("count")).join(F.broadcast(nation), "n_nationkey").select("node_id", F.col("id").alias("chunk_id"), "count")
+    sources = text.select("source_id").distinct().select(F.col("source_id").alias("id"), F.col("source_id").alias("uri"), F.upper("source_id").alias("title"))
+    edges = B.geo_edges(spark, d).withColumns({"id": F.concat_ws("|", "source", "target"), "valid_from": F.lit("2024-01-01"), "valid_to": F.lit(None).cast("string"), "method": F.lit("stated"), "weight": F.lit(1.0), "confidence": F.lit(None).cast("double"), "description": F.lit("")})
+    return D.Graph(names, edges, said, text.drop("doc_id"), sources)
+
+
+@query(r"""with m as (select lower(n_name) as node_id, doc_id, 1 + doc_id % 7 as n, source, text from documents join nation on doc_id % 25 = n_nationkey where text is not null),
+t as (select *, row_number() over (partition by node_id order by n desc, doc_id::varchar) as place from m), f as (select *, trim(regexp_replace(text, '\s+', ' ', 'g')) as flat from t where place <= 10), e as (select *, instr(lower(flat), node_id) as p from f),
+x as (select *, case when p = 0 then 0 else greatest(0, p - 1 - 133) end as s from e)
+select node_id, doc_id::varchar as chunk_id, upper(source) as title, (case when s > 0 then '...' else '' end) || substr(flat, s + 1, 400) || (case when s + 400 < length(flat) then '...' else '' end) as excerpt, place::int as place from x""")
+def evidence_passages(spark, d):
+    g = told_graph(spark, d)
+    nations = g.nodes.filter("id like 'nation%'").select(F.col("id").alias("node_id"))
+    return D.passages(g, nations).select("node_id", "chunk_id", "title", "excerpt", "place")
+
+
 @query("""select l_suppkey as node_id, l_orderkey as chunk_id, n as count, r as place from (select *, row_number() over (partition by l_suppkey order by n desc, l_orderkey) as r from (select l_suppkey, l_orderkey, count(*) as n from lineitem group by all)) where r <= 5""")
 def top_passages(spark, d):
     m = B.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("node_id"), F.col("l_orderkey").alias("chunk_id")).agg(F.count("*").alias("count"))
     return retrieval.top_passages(m).withColumn("place", F.col("place").cast("long"))
 
 
-@query()
+@query("""with o as (select source, doc_id, length(text) as n, row_number() over (partition by source order by doc_id, length(text)) as place from documents),
+r as (select source, 0::bigint as place, 0::bigint as used, []::bigint[] as kept from (select distinct source from o) union all
+  select r.source, o.place, case when used + coalesce(n, 1e9) <= 12000 then used + n else used end, case when used + coalesce(n, 1e9) <= 12000 then list_append(kept, doc_id) else kept end from r join o on o.source is not distinct from r.source and o.place = r.place + 1)
+select source, len(kept)::bigint as n, array_to_string(kept, ',') as kept from r qualify row_number() over (partition by source order by place desc) = 1""")
 def context_packing(spark, d):
     """For each source, of all its documents those that fit a budget of characters, in order; an order-dependent fold."""
-    return retrieval.pack_all(docs(spark, d), "source", "doc_id", F.length("text"), 12_000)
+    packed = retrieval.pack_all(docs(spark, d), "source", "doc_id", F.length("text"), 12_000)
+    return packed.select("source", F.size("kept").cast("long").alias("n"), F.array_join(F.col("kept").cast("array<string>"), ",").alias("kept"))
 
 
 # --- debate -------------------------------------------------------------------------------------------------------------------
@@ -367,13 +469,30 @@ def show(spark, d):
     return debate.show(B.claim_edges(spark, d), "source src0 is good").select("other", "relation", "id", F.col("place").cast("int").alias("place"))
 
 
-@query("""with e as (select event_id, user_id % 20 as u, value, case when value < 10 then 'increases' when value < 20 then 'reduces' when value < 25 then 'supports' when value < 30 then 'refutes' else 'mentions' end as relation from events where event_type <> 'click')
-select 'e-' || least(a.event_id, b.event_id) as edge_a, 'e-' || greatest(a.event_id, b.event_id) as edge_b from e a join e b on a.u = b.u and ((a.relation = 'increases' and b.relation = 'reduces') or (a.relation = 'supports' and b.relation = 'refutes'))""")
-def contradictions(spark, d):
-    v = F.col("value")
+_OPPOSED = """e as (select event_id, user_id % 20 as u, case when value < 10 then 'increases' when value < 20 then 'reduces' when value < 25 then 'supports' when value < 30 then 'refutes' else 'mentions' end as relation, case event_id % 3 when 0 then '' when 1 then 'It holds.' else 'It does not hold.' end as description from events),
+k as (select *, case when relation in ('increases', 'reduces') then '1' else '0' end as c, case when relation in ('increases', 'supports') then 'l' else 'r' end as s from e where relation <> 'mentions'
+  union all select *, '=' || relation, case when description like '% not %' then 'l' else 'r' end from e where description <> '')"""
+
+
+def opposed_edges(spark, d):
+    """user says x, in one of five ways by the event's value, with a description in two of three events."""
+    v, i = F.col("value"), F.col("event_id")
     relation = F.when(v < 10, "increases").when(v < 20, "reduces").when(v < 25, "supports").when(v < 30, "refutes").otherwise("mentions")
-    edges = B.table(spark, d, "events").select(F.concat(F.lit("e-"), F.col("event_id").cast("string")).alias("id"), F.concat(F.lit("user:"), (F.col("user_id") % 20).cast("string")).alias("source"), F.lit("x").alias("target"), relation.alias("relation"), F.lit("").alias("description"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("valid_from"), F.lit(None).cast("string").alias("valid_to"), F.lit("stated").alias("method"))
-    return debate.candidates(edges).select("edge_a", "edge_b")
+    told = F.when(i % 3 == 0, "").when(i % 3 == 1, "It holds.").otherwise("It does not hold.")
+    return B.table(spark, d, "events").select(F.concat(F.lit("e-"), i.cast("string")).alias("id"), F.concat(F.lit("user:"), F.lpad((F.col("user_id") % 20).cast("string"), 2, "0")).alias("source"), F.lit("x").alias("target"), relation.alias("relation"), told.alias("description"), F.lpad(i.cast("string"), 12, "0").alias("valid_from"), F.lit(None).cast("string").alias("valid_to"), F.lit("stated").alias("method"))
+
+
+@query(f"""with {_OPPOSED}, m as (select distinct a.u, least(a.event_id, b.event_id) as i, greatest(a.event_id, b.event_id) as j from k a join k b on a.u = b.u and a.c = b.c and a.s = 'l' and b.s = 'r')
+select 'e-' || i as edge_a, 'e-' || j as edge_b from m order by u, i, j limit 50""")
+def contradictions(spark, d):
+    """The first 50 candidates, as the operator's limit has it."""
+    return debate.candidates(opposed_edges(spark, d), 50).select("edge_a", "edge_b")
+
+
+@query(f"""with {_OPPOSED} select 'user:' || lpad((u)::varchar, 2, '0') as x, c, count(*) filter (s = 'l') as "left", count(*) filter (s = 'r') as "right" from k group by u, c having count(*) filter (s = 'l') > 0 and count(*) filter (s = 'r') > 0""")
+def opposed_counts(spark, d):
+    """How many relations stand against how many, over all events."""
+    return debate.opposed_counts(opposed_edges(spark, d)).select("x", "c", "left", "right")
 
 
 # --- sinks --------------------------------------------------------------------------------------------------------------------
@@ -386,15 +505,39 @@ def geo_nodes(spark, d):
     return places.unionByName(of("customer", "c_custkey", "c_name", "customer")).unionByName(of("supplier", "s_suppkey", "s_name", "supplier"))
 
 
-@query("""select '<node id="nation:' || n_nationkey || '"><data key="label">' || n_name || '</data><data key="type">place</data></node>' as line from nation
-union all select '<edge source="nation:' || n_nationkey || '" target="region:' || n_regionkey || '"><data key="relation">part_of</data></edge>' from nation""")
+_ALL_NODES = "an as (select 'nation:' || n_nationkey as id, n_name as label, 'place' as type from nation union all select 'region:' || r_regionkey, r_name, 'place' from region union all select 'customer:' || c_custkey, c_name, 'customer' from customer union all select 'supplier:' || s_suppkey, s_name, 'supplier' from supplier)"
+#: Nations whose customers' orders share a supplier's line on one day count as near; a small table of pairs.
+_NEAR = "pr as (select 'nation:' || least(a.n_nationkey, b.n_nationkey) as a, 'nation:' || greatest(a.n_nationkey, b.n_nationkey) as b, (1 + a.n_nationkey)::bigint as shared from nation a join nation b on a.n_regionkey = b.n_regionkey and b.n_nationkey = a.n_nationkey + 5)"
+
+
+def near_nations(spark, d):
+    """Neighbouring nations of a region, with a made-up count."""
+    n = B.table(spark, d, "nation")
+    one, two = n.select("n_regionkey", (F.col("n_nationkey") + 5).alias("k"), F.col("n_nationkey").alias("ka")), n.select("n_regionkey", F.col("n_nationkey").alias("k"))
+    name = lambda c: F.concat(F.lit("nation:"), F.col(c).cast("string"))
+    return one.join(two, ["n_regionkey", "k"]).select(name("ka").alias("a"), name("k").alias("b"), (1 + F.col("ka")).cast("long").alias("shared"))
+
+
+@query(f"""with {_GEO}, {_ALL_NODES}, {_NEAR}, h as (select '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">' || chr(10) || string_agg('  <key id="' || m || '_' || k || '" for="' || f || '" attr.name="' || k || '" attr.type="' || t || '"/>', chr(10) order by i) || chr(10) || '  <graph id="geo" edgedefault="directed">' as line
+  from (values (1, 'n', 'node', 'label', 'string'), (2, 'n', 'node', 'type', 'string'), (3, 'n', 'node', 'community', 'int'), (4, 'n', 'node', 'degree', 'int'), (5, 'n', 'node', 'strength', 'double'), (6, 'n', 'node', 'betweenness', 'double'), (7, 'n', 'node', 'summary', 'string'),
+  (8, 'e', 'edge', 'relation', 'string'), (9, 'e', 'edge', 'description', 'string'), (10, 'e', 'edge', 'weight', 'double'), (11, 'e', 'edge', 'confidence', 'double'), (12, 'e', 'edge', 'valid_from', 'string'), (13, 'e', 'edge', 'valid_to', 'string'), (14, 'e', 'edge', 'agent', 'string')) x(i, m, f, k, t))
+select line from h union all select '    <node id="' || id || '">' || chr(10) || '      <data key="n_label">' || label || '</data>' || chr(10) || '      <data key="n_type">' || type || '</data>' || chr(10) || '    </node>' from an
+union all select '    <edge id="' || source || '|' || relation || '|' || target || '" source="' || source || '" target="' || target || '">' || chr(10) || '      <data key="e_relation">' || relation || '</data>' || chr(10) || '    </edge>' from g
+union all select '    <edge id="p-' || (row_number() over (order by a, b) - 1) || '" source="' || a || '" target="' || b || '"><data key="e_relation">contextual_proximity</data><data key="e_weight">' || shared || '</data></edge>' from pr union all select '  </graph>' || chr(10) || '</graphml>'""")
 def graphml(spark, d):
-    return sinks.graphml(geo_nodes(spark, d), B.geo_edges(spark, d)).select("line")
+    return sinks.graphml(geo_nodes(spark, d), B.geo_edges(spark, d), near_nations(spark, d), "geo").select("line")
 
 
-@query("""select 'nodes' as "group", '{"data":{"id":"nation:' || n_nationkey || '","label":"' || n_name || '","type":"place"}}' as element from nation""")
+@query(f"""with {_GEO}, {_ALL_NODES}, {_NEAR} select 'nodes' as "group", '{{"data":{{"id":"' || id || '","label":"' || label || '","type":"' || type || '"}}}}' as element from an
+union all select 'edges', '{{"data":{{"source":"' || source || '","relation":"' || relation || '","target":"' || target || '"}}}}' from g
+union all select 'edges', '{{"data":{{"id":"p-' || (row_number() over (order by a, b) - 1) || '","source":"' || a || '","target":"' || b || '","relation":"contextual_proximity","weight":' || shared || '}}}}' from pr""")
 def cytoscape(spark, d):
-    return sinks.cytoscape(geo_nodes(spark, d), B.geo_edges(spark, d))
+    return sinks.cytoscape(geo_nodes(spark, d), B.geo_edges(spark, d), near_nations(spark, d))
+
+
+@query(f"with {_GEO}, {_NEAR} select source as node_1, target as node_2, null::varchar as edge, relation, null::varchar as weight, null::varchar as confidence, null::varchar as chunk_id, null::varchar as agent, null::varchar as valid_from, null::varchar as valid_to from g union all select a, b, 'contextual proximity', 'contextual_proximity', shared::varchar, null, null, null, null, null from pr")
+def relation_table(spark, d):
+    return sinks.relation_table(B.geo_edges(spark, d), near_nations(spark, d))
 
 
 @query("""select p_partkey::varchar as id, case when r = 1 then p_name else p_name || ' (' || r || ')' end as name from (select *, row_number() over (partition by lower(p_name) order by p_partkey::varchar) as r from part)""")
@@ -402,6 +545,114 @@ def file_names(spark, d):
     return sinks.file_names(B.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("label")))
 
 
-@query()
+@query(f"""with {_GEO}, {_ALL_NODES}, nm as (select id, trim(regexp_replace(label, '[\\/:*?"<>|#^\[\]]', ' ', 'g')) as name from an),
+e as (select source as id, 0 as n, source || '|' || relation || '|' || target as e, '- → *' || replace(relation, '_', ' ') || '* [[' || name || ']]' as line from g join nm on nm.id = target
+  union all select target, 1, source || '|' || relation || '|' || target, '- ← *' || replace(relation, '_', ' ') || '* [[' || name || ']]' from g join nm on nm.id = source), l as (select id, string_agg(line, chr(10) order by n, line) as lines from e group by id)
+select 'Concepts/' || name || '.md' as path, '---' || chr(10) || 'type: ' || type || chr(10) || 'degree: 0' || chr(10) || 'betweenness: 0' || chr(10) || 'tags: [knowledge/' || type || ']' || chr(10) || '---' || chr(10) || chr(10) || '# ' || label || chr(10) || chr(10) || coalesce('## Relations' || chr(10) || chr(10) || lines || chr(10) || chr(10), '') as body from an join nm using (id) left join l using (id)""")
 def vault(spark, d):
-    return sinks.vault(geo_nodes(spark, d), B.geo_edges(spark, d))
+    edges = B.geo_edges(spark, d)
+    return sinks.vault(geo_nodes(spark, d), edges)
+
+
+# --- stored graphs --------------------------------------------------------------------------------------------------------------
+
+
+def batches_of(spark, d) -> list[DataFrame]:
+    """Documents in two batches; two hundred addresses, so that later texts take the place of earlier ones."""
+    rows = docs(spark, d).select(F.concat(F.lit("doc:"), F.lpad((F.col("doc_id") % 200).cast("string"), 3, "0")).alias("uri"), F.concat(F.lit("Document "), (F.col("doc_id") % 200).cast("string")).alias("title"), "text", "doc_id")
+    return [rows.filter(F.col("doc_id") % 2 == i).drop("doc_id") for i in (0, 1)]
+
+
+_READ = rf"""d as (select 'doc:' || lpad((doc_id % 200)::varchar, 3, '0') as uri, text, sha256(text) as sha, doc_id % 2 as batch from documents where trim(text, {_WHITE}) <> ''),
+f as (select sha, text, arg_min(uri, (batch, uri)) as uri, min(batch) as batch from d group by sha, text),
+i as (select *, 's-' || left(sha, 12) || case when row_number() over (partition by left(sha, 12) order by batch, uri, sha) > 1 then '-' || row_number() over (partition by left(sha, 12) order by batch, uri, sha) else '' end as id from f)"""
+
+
+@query(f"with {_READ} select id, uri, length(text)::bigint as chars, case batch when 0 then '2024-01-01T00:00:00Z' else '2024-02-01T00:00:00Z' end as ingested_at, lead(id) over (partition by uri order by batch, sha) as replaced_by from i")
+def stored_sources(spark, d):
+    """Sources of a stored graph after two batches: texts that are known are not read again, later texts of an address take the place of earlier ones."""
+    store = Store(spark, shared_path(spark, "graph"))
+    for at, rows in zip(("2024-01-01", "2024-02-01"), batches_of(spark, d), strict=True):
+        store.ingest(rows, "agent", at=at)
+    return store.sources().select("id", "uri", "chars", "ingested_at", "replaced_by")
+
+
+@query(f"with {_READ}, s as (select d.batch, case when d.batch = i.batch and d.uri = i.uri and row_number() over (partition by d.batch, d.sha order by d.uri) = 1 then 'added' else 'unchanged' end as status from d join i using (sha)) select batch, status, count(*) as n from s group by all")
+def ingest_report(spark, d):
+    """What became of each document of both batches, counted."""
+    store = Store(spark, shared_path(spark, "graph"))
+    found = None
+    for i, rows in enumerate(batches_of(spark, d)):
+        told = store.ingest(rows, "agent", at=f"2024-0{i + 1}-01").select(F.lit(i).cast("long").alias("batch"), "status")
+        found = told if found is None else found.unionByName(told)
+    return found.groupBy("batch", "status").agg(F.count("*").alias("n"))
+
+
+def stored_geography(spark, d) -> Store:
+    """Geography by name, asserted as a payload; nations once more in a second one, with regions as typed concepts; then every fifth nation's relation is closed."""
+    named = geo_nodes(spark, d).select("id", "label")
+    ends = B.geo_edges(spark, d).join(named.select(F.col("id").alias("source"), F.col("label").alias("source_label")), "source").join(named.select(F.col("id").alias("target"), F.col("label").alias("target_label")), "target")
+    none = F.lit(None).cast("string")
+    rows = ends.select(F.monotonically_increasing_id().alias("seq"), "source_label", "target_label", keys.node_key(F.col("source_label")).alias("source"), "relation", keys.node_key(F.col("target_label")).alias("target"), F.lit("").alias("description"), F.lit(None).cast("double").alias("confidence"), *[none.alias(c) for c in ("source_type", "target_type", "evidence", "valid_from", "valid_to", "chunk", "method", "skipped")])
+    rows = settle(rows, "payload")
+    store = Store(spark, shared_path(spark, "graph"))
+    store.add(rows, at="2024-01-01")
+    places = B.table(spark, d, "region").select(F.col("r_regionkey").alias("seq"), F.col("r_name").alias("label"), F.lit("place").alias("type"), F.concat(F.lit("Region number "), F.col("r_regionkey").cast("string")).alias("summary"), F.lit(None).cast("map<string,string>").alias("attrs"))
+    store.add(rows.filter("relation = 'part_of'"), places, at="2024-01-01")
+    fifth = B.table(spark, d, "nation").filter("n_nationkey % 5 = 0").select(keys.node_key(F.col("n_name")).alias("source"))
+    close = store.edges().filter("relation = 'part_of'").join(F.broadcast(fifth), "source", "left_semi").select(F.col("id").alias("edge"), none.alias("by"), F.lit("moved").alias("reason"))
+    store.supersede(close, "2024-03-01")
+    return store
+
+
+_FACTS = "x as (select lower(c_name) as s, 'located_in' as r, lower(n_name) as t, c_name as sl, n_name as tl, 1 as w, false as shut from customer join nation on c_nationkey = n_nationkey union all select lower(s_name), 'located_in', lower(n_name), s_name, n_name, 1, false from supplier join nation on s_nationkey = n_nationkey union all select lower(n_name), 'part_of', lower(r_name), n_name, r_name, 2, n_nationkey % 5 = 0 from nation join region on n_regionkey = r_regionkey)"
+
+
+@query(f"with {_FACTS} select 'e-' || left(sha256(s || '|' || t || '|' || r || '|||||2024-01-01T00:00:00Z'), 12) as id, s as source, t as target, sum(w)::double as weight, '2024-01-01T00:00:00Z' as valid_from, case when shut then '2024-03-01T00:00:00Z' end as valid_to, case when shut then 'note:moved' end as invalidated_by from x group by s, r, t, shut")
+def stored_edges(spark, d):
+    """Relations of a stored graph: one for each identity, with the weight of all its assertions, and closed ones."""
+    return stored_geography(spark, d).edges().select("id", "source", "target", "weight", "valid_from", "valid_to", "invalidated_by")
+
+
+@query(f"with {_FACTS} select id, min(label) as label, case when id in (select lower(r_name) from region) then 'place' else 'concept' end as type, coalesce((select 'Region number ' || r_regionkey from region where lower(r_name) = id), '') as summary from (select s as id, sl as label from x union all select t, tl from x union all select lower(r_name), r_name from region) group by id")
+def stored_nodes(spark, d):
+    return stored_geography(spark, d).nodes().select("id", "label", "type", "summary")
+
+
+@query(f"""with {_FACTS}, n as (select (select count(*) from (select s from x union select t from x)) as nodes, (select count(distinct (s, r, t)) from x) as edges, (select count(*) from region where lower(r_name) in (select t from x)) as seen, (select count(*) from region where lower(r_name) not in (select t from x)) as fresh, (select count(*) from nation where n_nationkey % 5 = 0) as shut)
+select kind, sum(n)::bigint as n, min(first)::bigint as first, max(first + n - 1)::bigint as last from (select 'node_added' as kind, nodes as n, 1 as first from n union all select 'edge_added', edges, nodes + 1 from n union all select 'node_added', fresh, nodes + edges + 1 from n union all select 'node_updated', seen, nodes + edges + fresh + 1 from n union all select 'edge_superseded', shut, nodes + edges + fresh + seen + 1 from n) where n > 0 group by kind""")
+def stored_events(spark, d):
+    """The log's events by kind, with their first and last number: it counts on without a gap."""
+    return stored_geography(spark, d).events().groupBy("kind").agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last"))
+
+
+@query(f"with {_FACTS}, e as (select distinct s, r, t, shut from x), n as (select count(*) as n from (select s from x union select t from x union select lower(r_name) from region)) select (select n from n) as nodes, count(*) filter (not shut) as edges, count(*) filter (shut) as closed_edges, 0::bigint as sources, 0::bigint as chunks, 0::bigint as conflicts, 0::bigint as reports, (select n from n) + count(*) + (select count(*) from region where lower(r_name) in (select t from x)) + count(*) filter (shut) as events from e")
+def stored_counts(spark, d):
+    return stored_geography(spark, d).counts()
+
+
+@query("with x as (select type, count(*) as n from (select 'place' as type from region union all select 'place' from nation union all select 'customer' from customer union all select 'supplier' from supplier) group by type) select type, n from x")
+def node_types(spark, d):
+    return geo_nodes(spark, d).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query(f"with {_STATUS} select least(min(valid_from), min(valid_to)) as first, greatest(max(valid_from), max(valid_to)) as last from e")
+def time_range(spark, d):
+    return temporal.time_range(B.status_edges(spark, d))
+
+
+@query("""with j as (select event_id::varchar as id, ts as at, event_type as relation, case when event_type = 'error' then lag(event_id) over (partition by user_id order by ts, event_id)::varchar end as supersedes from events)
+select a.id, a.relation, a.at as valid_from, b.at as valid_to, 'edge:' || b.id as invalidated_by from j a left join j b on b.supersedes = a.id""")
+def replay(spark, d):
+    """A dated journal: each error ends what its user did before."""
+    before = F.lag("event_id").over(retrieval.Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("string")
+    steps = B.table(spark, d, "events").select(F.col("event_id").cast("string").alias("id"), F.col("ts").alias("at"), F.col("event_type").alias("relation"), F.when(F.col("event_type") == "error", before).alias("supersedes"))
+    return temporal.replay(steps)
+
+
+@query(f"""with {_WORDS}, c as (select source, sum(length(text)) as chars from documents group by source), o as (select doc_id, word, count(*) as n from w group by all), k as (select source, word from o join documents using (doc_id) join c using (source) group by source, word, chars having sum(n) >= case when chars > 4000 then 2 else 1 end)
+select n.a as source, n.b as target, sum(n.weight) as weight, count(*) as chunks from n join documents d using (doc_id) where exists (select 1 from k where k.source = d.source and k.word = n.a) and exists (select 1 from k where k.source = d.source and k.word = n.b) group by 1, 2""")
+def word_network(spark, d):
+    """Word networks of the sources, with documents as chunks; weights and chunks summed by pair."""
+    parts = docs(spark, d).select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("source_id"), "text")
+    return ingest.cooccurrence(parts)[1].groupBy("source", "target").agg(F.sum("weight").alias("weight"), F.count("*").alias("chunks"))
