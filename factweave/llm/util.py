@@ -1,20 +1,18 @@
-"""Shared helpers: the cluster's shared folder, shipping this package to executors, and word batches over Arrow."""
+"""Shared helpers: written tables, batches of texts, and words over Arrow."""
 
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from factweave.plans.storage import shared_path
+from factweave.plans.storage import ship as ship_package
+
 #: Text bytes that Python code handles at once; a longer text makes a slice of its own.
 SLICE_BYTES = 4 << 20
 #: Rows of an Arrow batch, unless the session says otherwise: the JVM and the worker each hold a batch of whole texts.
@@ -22,25 +20,8 @@ ARROW_ROWS = 2000
 #: White space that separates words: [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
 
-_own_dirs: dict[str, str] = {}
 #: glibc's malloc_trim, where there is one.
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-_shipped: set[str] = set()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="factweave-")
-        spark.sparkContext.setCheckpointDir(_own_dirs[app])
-    return _own_dirs[app]
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/factweave/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -52,19 +33,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each application, and keeps Arrow batches small where the session leaves them at Spark's default."""
-    app = spark.sparkContext.applicationId
+    """Sends this package to the executors, and keeps Arrow batches small where the session leaves them at Spark's default."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    if app in _shipped:
-        return
-    top = Path(__file__).resolve().parents[1]
-    out = os.path.join(tempfile.mkdtemp(prefix="factweave-ship-"), f"{top.name}.zip")
-    with zipfile.ZipFile(out, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    spark.sparkContext.addPyFile(out)
-    _shipped.add(app)
+    ship_package(spark)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
