@@ -16,10 +16,10 @@ from __future__ import annotations
 import math
 import random
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -295,12 +295,10 @@ OTHER_WORDS = {
     "comments": "comments comment reply replies respond discussion disqus thread feedback reader".split(),
     "share": "share social sharing follow like tweet buttons".split(),
 }
-#: How far each kind of feature counts: features of a node and of its runs overlap, so their log-odds are tempered. Chosen on labelled pages.
-WEIGHTS = {"semantic": 1.0, "tag": 0.25, "word": 2.0, "size": 0.1, "run": 0.75, "links": 3.0}
 MARK = "\ue000"
 
 
-def labelled_pages(n: int = 600, seed: int = 11) -> Iterator[str]:
+def labelled_pages(n: int = 900, seed: int = 11) -> Iterator[str]:
     """Pages whose article text carries MARK at the start of each run."""
     r = random.Random(seed)
 
@@ -357,7 +355,7 @@ def labelled_pages(n: int = 600, seed: int = 11) -> Iterator[str]:
 
     for _ in range(n):
         often, brief = r.random(), r.random() < 0.25
-        body = [f"<h1>{MARK}{say(2, 10, 0.3)}</h1>"] * (r.random() < 0.85) + [prose(brief) for _ in range(r.choice((1, 1, 2, 3) if brief else (1, 2, 4, 8, 15, 30)))]
+        body = [f"<h1>{MARK}{say(2, 10, 0.3)}</h1>"] * (r.random() < 0.85) + [prose(brief) for _ in range(r.choice((1, 1, 2, 3, 40, 150) if brief else (1, 2, 4, 8, 15, 30)))]
         for kind in ("ad", "share", "aside", "form", "notice", "nav", "comments"):
             if r.random() < 0.15:
                 body.insert(r.randint(1, len(body)), block(kind, often))
@@ -373,35 +371,94 @@ def labelled_pages(n: int = 600, seed: int = 11) -> Iterator[str]:
         yield f"<!DOCTYPE html><html><head><title>{say(2, 8)}</title></head><body>{f'<div id=wrap>{page}</div>' if r.random() < 0.3 else page}</body></html>"
 
 
+class Labelled:
+    """Trees with the state of each node, as arrays over all nodes of all pages; an element is content if any of its text is. Nodes without text have no state to learn from."""
+
+    def __init__(self, pages: Iterator[str]):
+        parent, depth, kind, state, known, rows, names = [], [], [], [], [], [], {}
+        for page in pages:
+            tree, base = Tree(page), len(parent)
+            n = len(tree.tag)
+            yes, size = [0] * n, [0] * n
+            for i in range(n - 1, -1, -1):
+                if tree.text[i] is not None:
+                    hit = tree.text[i].startswith(MARK)
+                    tree.text[i] = tree.text[i].replace(MARK, "")
+                    size[i] = len(tree.text[i])
+                    yes[i] = size[i] * hit
+                if i:
+                    yes[tree.parent[i]] += yes[i]
+                    size[tree.parent[i]] += size[i]
+            for i, fs in enumerate(tree.features()):
+                parent.append(base + tree.parent[i] if i else -1)
+                depth.append(depth[parent[-1]] + 1 if i else 0)
+                kind.append(KIND_NAMES.index(KINDS.get(tree.tag[i], "box")))
+                state.append(yes[i] > 0)
+                known.append(size[i] > 0)
+                rows += [(base + i, names.setdefault(f, len(names))) for f in fs]
+        self.parent, self.depth, self.kind = (np.array(x, np.int64) for x in (parent, depth, kind))
+        self.state, self.known, self.names = np.array(state, bool), np.array(known, bool), list(names)
+        self.node, self.feature = np.array(rows, np.int64).reshape(-1, 2).T
+        self.levels = [np.flatnonzero(self.depth == d) for d in range(int(self.depth.max(initial=0)) + 1)]
+
+    def shares(self) -> tuple[np.ndarray, float]:
+        """P(content | the parent's state) for each kind of child, smoothed, and P(content) of roots."""
+        inner = self.known & (self.parent >= 0)
+        counts = np.ones((len(KIND_NAMES), 2, 2))
+        np.add.at(counts, (self.kind[inner], self.state[self.parent[inner]].astype(int), self.state[inner].astype(int)), 1)
+        roots = self.state[self.parent < 0]
+        return counts[:, :, 1] / counts.sum(axis=2), (roots.sum() + 1) / (len(roots) + 2)
+
+    def marginals(self, odds: np.ndarray, edge: np.ndarray, prior: float) -> np.ndarray:
+        """P(content) of all nodes at given log-odds of their own: messages level by level, upward in logarithms, then downward."""
+        on, off = -np.logaddexp(0, -odds), -np.logaddexp(0, odds)
+        up = np.zeros((len(odds), 2))  # a child's message to a parent that isn't content, that is
+        for level in reversed(self.levels[1:]):
+            a, b = on[level], off[level]
+            for parent in (0, 1):
+                e = edge[self.kind[level], parent]
+                up[level, parent] = np.logaddexp(np.log(e) + a, np.log1p(-e) + b)
+            np.add.at(on, self.parent[level], up[level, 1])
+            np.add.at(off, self.parent[level], up[level, 0])
+        p = np.zeros(len(odds))
+        for d, level in enumerate(self.levels):
+            if not d:
+                x, y = np.log(prior) + on[level], np.log1p(-prior) + off[level]
+            else:
+                q, e = np.clip(p[self.parent[level]], 1e-12, 1 - 1e-12), edge[self.kind[level]]
+                a, b = np.log(q) - up[level, 1], np.log1p(-q) - up[level, 0]
+                x = on[level] + np.logaddexp(a + np.log(e[:, 1]), b + np.log(e[:, 0]))
+                y = off[level] + np.logaddexp(a + np.log1p(-e[:, 1]), b + np.log1p(-e[:, 0]))
+            p[level] = 1 / (1 + np.exp(np.clip(y - x, -500, 500)))
+        return p
+
+
+#: Steps of training and their size.
+STEPS, RATE = 150, 0.05
+
+
 def train(pages: Iterator[str]) -> Model:
-    """Smoothed shares of features and of parents' and children's states; an element is content if any of its text is."""
-    counts, total, edges = defaultdict(lambda: [1.0, 1.0]), [2.0, 2.0], {k: [[1.0, 1.0], [1.0, 1.0]] for k in KIND_NAMES}
-    roots = [1.0, 1.0]
-    for page in pages:
-        tree = Tree(page)
-        n = len(tree.tag)
-        yes, size, label = [0] * n, [0] * n, [0] * n
-        for i in range(n - 1, -1, -1):
-            if tree.text[i] is not None:
-                hit = tree.text[i].startswith(MARK)
-                tree.text[i] = tree.text[i].replace(MARK, "")
-                size[i] = len(tree.text[i])
-                yes[i] = size[i] * hit
-            label[i] = int(yes[i] > 0)
-            if i:
-                yes[tree.parent[i]] += yes[i]
-                size[tree.parent[i]] += size[i]
-        roots[label[0]] += 1
-        for i, fs in enumerate(tree.features()):
-            if not size[i]:
-                continue
-            total[label[i]] += 1
-            for f in fs:
-                counts[f][label[i]] += 1
-            if i:
-                edges[KINDS.get(tree.tag[i], "box")][label[tree.parent[i]]][label[i]] += 1
-    node = {f: WEIGHTS[f.split()[0]] * (math.log(c[1] / total[1]) - math.log(c[0] / total[0])) for f, c in counts.items()}
-    return Model(node, {k: tuple(e[s][1] / sum(e[s]) for s in (0, 1)) for k, e in edges.items()}, roots[1] / sum(roots))
+    """Edge potentials are the shares of children's states by their parents'. A node's own potential is the sum of its features' log-odds, each kind of feature (tag, class words, size, links, ...) with a
+    weight, as features of a node and of its runs overlap. These weights climb the likelihood of all states given the trees: the gradient of one is, over all nodes, the sum of state less marginal
+    times the node's log-odds of that kind, and the marginals come from the messages. Steps are scaled by each weight's past gradients."""
+    t = Labelled(pages)
+    edge, prior = t.shares()
+    seen = t.known[t.node]
+    counts = np.ones((2, len(t.names)))
+    np.add.at(counts, (t.state[t.node[seen]].astype(int), t.feature[seen]), 1)
+    total = np.array([2 + (t.known & ~t.state).sum(), 2 + (t.known & t.state).sum()], float)
+    odds = np.log(counts[1] / total[1]) - np.log(counts[0] / total[0])
+    groups = list(dict.fromkeys(f.split()[0] for f in t.names))
+    of = np.array([groups.index(f.split()[0]) for f in t.names])
+    each = np.zeros((len(t.parent), len(groups)))
+    np.add.at(each, (t.node, of[t.feature]), odds[t.feature])
+    weight, past = np.full(len(groups), 0.5), np.full(len(groups), 1e-9)
+    for _ in range(STEPS):
+        rest = np.where(t.known, t.state - t.marginals(each @ weight, edge, prior), 0.0)
+        gradient = rest @ each
+        past = 0.9 * past + 0.1 * gradient**2
+        weight = np.maximum(0.0, weight + RATE * gradient / np.sqrt(past))
+    return Model(dict(zip(t.names, (weight[of] * odds).tolist(), strict=True)), {k: tuple(edge[i]) for i, k in enumerate(KIND_NAMES)}, float(prior))
 
 
 _models: dict[str, Model] = {}

@@ -72,6 +72,93 @@ def test_pages(spark):
     assert got[0] == got[4] == got[7] == "" and got[3] == "a & b\nc"
 
 
+#: Pages written apart from the generator's layouts, with what a reader would call their text.
+PAGES = [
+    ("""<html><head><title>T</title>stray text<meta charset=utf-8></head><body class="home-page"><div id="top-bar"><a href=/>Home</a> <a href=/a>About</a> <a href=/b>Blog</a></div>
+     <div class="wrapper"><div class="post-content"><h1>A walk in the hills</h1><p>We left early, before the sun was up, and took the long way round.</p><p hidden>Not shown to anyone at all, this line.</p>
+     <div style="color:red; display: none">Nor is this sentence, which is hidden.</div><figure><img src=x><figcaption>The ridge at dawn, seen from the north.</figcaption></figure>
+     <p>By noon <span style="visibility:hidden">secret </span>we had reached the top &amp; rested.</p></div><div class="related-posts"><h3>Read more</h3><ul><li><a href=1>Lakes</a><li><a href=2>Rivers</a></ul></div></div>
+     <div class="site-footer"><p>&copy; 2024 Hills Ltd.</p></div></body></html>""",
+     "A walk in the hills\nWe left early, before the sun was up, and took the long way round.\nThe ridge at dawn, seen from the north.\nBy noon we had reached the top & rested."),
+    ("""<body><header><h2>Daily News</h2><nav><ul><li><a href=#>World</a></li><li><a href=#>Sport</a></li></ul></nav></header><main><article><h1>Rates rise again</h1><p>The bank raised its rate on Tuesday, the third time this year.</p>
+     <blockquote><p>It was needed, the governor said.</p></blockquote><ul><li>Loans cost more.</li><li>Savings earn more.</li></ul><table><tr><th>Year</th><td>Rate</td></tr></table></article>
+     <section class="comments"><h3>3 comments</h3><div class="comment"><p>I do not agree with this at all, sorry.</p></div></section></main><aside class="sidebar"><p>Subscribe to our newsletter for more stories.</p></aside>
+     <footer><p>Imprint and privacy.</p></footer></body>""",
+     "Rates rise again\nThe bank raised its rate on Tuesday, the third time this year.\nIt was needed, the governor said.\nLoans cost more.\nSavings earn more.\nYear\nRate"),
+    ("""<div class="cookie-banner"><p>We use cookies to make this site better for you.</p><button>Accept</button></div><article><p>First paragraph, without any heading.</section></div></nav><p>Second one after stray ends.
+     <div class="ad">Buy now, cheap.</div><p data-hidden="hidden" title="the hidden gem">Third one stays.</article><form class="search"><label>Search the site</label><input></form>""",
+     "First paragraph, without any heading.\nSecond one after stray ends.\nThird one stays."),
+]
+
+
+def test_pages_written_by_hand():
+    m = html_extract.default_model()
+    for page, want in PAGES:
+        assert m.text(page) == want
+
+
+def test_long_and_broken_pages_take_linear_time(spark, empty):
+    import time
+
+    def took(n):
+        began = time.time()
+        html_extract.Tree("<div>" * n + "</section>" * n)
+        html_extract.Tree("<b>" * n + "</i>" * n + "<svg>" * n + "</select>" * n)
+        return time.time() - began
+
+    took(1000)
+    assert took(40_000) < 25 * max(took(4_000), 0.02)
+    long = "<article>" + "<p>A sentence of some words here.</p>" * 30_000 + "</article>"
+    rows = spark.createDataFrame([(1, "u", long, "k"), (1, "u", long, "k"), (None, None, "<p>Only this one sentence here.</p>", "k")], "page_id long, url string, html string, text string")
+    got = html_extract.extract(rows).collect()
+    assert all(r.text.count("\n") == 29_999 for r in got if r.page_id == 1)
+    assert len(got) == 3 and html_extract.extract(rows.limit(0)).count() == 0
+
+
+def test_toxicity_parts_do_not_leak(spark):
+    """Random words that only single texts share teach nothing: held-out texts of random labels get scores near the base rate."""
+    import random
+
+    r = random.Random(2)
+    rows = [(i, " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(60))) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(r.random() < 0.3)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    score = model.score(pa.array([t for _, t in rows]))
+    assert abs(score.mean() - 0.3) < 0.1 and score.max() < 0.75
+
+
+def test_flags_against_plain():
+    """The Arrow kernels against one word at a time."""
+    lex = toxicity.Lexicons(frozenset({"gromlak", "idiot", "schön"}), frozenset({"grom", "idio"}))
+    words = ["gromlak", "GROMLAK!!", "g.r.o.m.l.a.k", "gr0mlak", "grooomlak", "schön", "sch0n", "...", "a", "you", "YOU", "it's", "x-y", "12", "a1b", "idiots,", "(idiot)", "é", "ÉÉ", "#$%", "don’t", "1d10t*", "漢字", "ﬁx"]
+    got = lex.flags(pa.array(words))
+    for w, row in zip(words, got, strict=True):
+        p, letters, capitals = toxicity.plain(w), sum(c.isalpha() for c in w), sum(c.isupper() for c in w)
+        inner, points = toxicity.EDGES.sub("", w), sum(c in ".,;:!?'\"-()" for c in w)
+        u = toxicity.undone(w.rstrip("*#$%&"))
+        want = [p in lex.words, len(p) >= 4 and p[:4] in lex.beginnings, p not in lex.words and p != "" and u != p and len(u) > 2 and u in lex.words, p in toxicity.SECOND, letters > 1 and capitals == letters, letters, capitals, w.count("!") + w.count("?"), points, len(w) - letters - sum(c.isdigit() for c in w) - points, bool(letters) and any(not c.isalpha() and c not in "'’-" for c in inner), len(w), len(p) == 1 and letters == 1]
+        assert row.tolist() == [float(x) for x in want], w
+
+
+def test_very_long_texts_and_clashing_columns(spark, odd):
+    model = langid.train_model(["en", "de"], ["the and of to in is it you that " * 50, "der die und das ist nicht ein ich zu " * 50])
+    long = spark.createDataFrame([(1, "the and of " * 200_000 + "der die das " * 10, "k", 1.0), (1, "der die das", "k", 1.0), (None, None, "k", 1.0)], "doc_id long, text string, score string, spans double")
+    got = {(r.doc_id, r.lang_pred): r.score for r in langid.identify(long, model).collect()}
+    assert got[1, "en"] > 0.9 and got[1, "de"] == 1 and got[None, "und"] == 0
+    assert langid.keep_identified(long, model).columns == long.columns and langid.keep_identified(long, model).count() == 2
+    assert langid.keep_identified(long.limit(0), model).count() == 0
+
+
+def test_language_ties_and_many_languages():
+    m = langid.train_model(["b", "a"], ["same words here"] * 2)
+    names, score, _ = langid.identify_batch(pa.array(["same words"]), m)
+    assert names == ["a"] and score[0] == 1  # of equal languages the first by name
+    score = np.random.default_rng(1).normal(size=(50, 300)).astype(np.float32)
+    path = langid.viterbi(score, np.array([0, 50]), np.float32(0.0))
+    assert (path == score.argmax(axis=1)).all() and path.max() > 255
+
+
 def test_silent_elements_end_with_their_parents():
     runs = lambda page: [t for t in html_extract.Tree(page).text if t]
     article = "<article><h1>Title of it</h1><p>A first sentence here.</p><p>Another.</p></article>"
