@@ -193,7 +193,7 @@ def embedded(value) -> str:
 
 
 PAGE = """<!DOCTYPE html>
-<html lang="en"><head><meta charset="utf-8"><title>@title@</title><style>
+<html lang="en"><head><meta charset="utf-8"><meta http-equiv="Content-Security-Policy" content="default-src 'none'; style-src 'unsafe-inline'; script-src 'unsafe-inline'; connect-src 'self'"><title>@title@</title><style>
 body{margin:0;font:14px system-ui,sans-serif;display:flex;height:100vh}svg{flex:1;background:#fafafa}aside{width:22em;overflow:auto;padding:1em;border-left:1px solid #ddd}
 line{stroke:#bbb}line.closed{stroke-dasharray:4}circle{cursor:pointer}text{font-size:10px;pointer-events:none}input{width:100%}
 </style></head><body><svg viewBox="-500 -500 1000 1000"></svg><aside><h1>@title@</h1><p id="why"></p><input type="range" id="time"><p id="when"></p><div id="about"></div></aside>
@@ -207,6 +207,7 @@ doc.nodes.forEach(n => { const c = make("circle", {cx: at[n.id][0], cy: at[n.id]
   c.onclick = () => { about.replaceChildren(); put("h2", n.label); put("p", n.summary || ""); doc.edges.filter(e => e.source === n.id || e.target === n.id).forEach(e => put("p", `${e.source} ${e.relation} ${e.target}: ${e.description || ""}`)); (n.passages || []).forEach(p => put("blockquote", p.excerpt)) } });
 const marks = doc.time.marks, slider = document.getElementById("time"); slider.max = Math.max(0, marks.length - 1); slider.value = slider.max;
 const show = () => { const t = marks[slider.value]; document.getElementById("when").textContent = t || ""; lines.forEach(([e, l]) => { const on = !t || e.valid_from <= t, shut = e.valid_to && (!t || e.valid_to <= t); l.style.display = on && (!shut || doc.open?.closed) ? "" : "none"; l.setAttribute("class", shut ? "closed" : "") }) };
+if (doc.live) setInterval(async () => { const r = await fetch(`/api/events?since=${doc.last_event}`); if ((await r.json()).events?.length) location.reload() }, 2000);
 slider.oninput = show; show(); document.getElementById("why").textContent = doc.open?.why || "";
 </script></body></html>
 """
