@@ -59,6 +59,9 @@ _WORDS = (
 )
 
 
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.table(spark, sf_dir, "documents")
 
@@ -93,7 +96,6 @@ def term_pairs_top(spark, d):
 
 #: The character references that the test tables' pages have; the query decodes all.
 _DECODED = "regexp_replace(replace(replace(replace({x}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;?', '&', 'g')"
-_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
 @query(f"""select page_id, case when regexp_matches(html, '(?is)<title>.*?</title>') then trim({_DECODED.format(x="regexp_extract(html, '(?is)<title>(.*?)</title>', 1)")}, {_WHITE}) end as title, length(html)::bigint as n from pages""")
@@ -108,17 +110,30 @@ def page_text(spark, d):
     return B.table(spark, d, "pages").select("page_id", T.strip_html(F.col("html")).alias("text"))
 
 
-@query("""select conv_id, string_agg(role || ': ' || trim(text), chr(10) || chr(10) order by turn) as text, count(*) as turns from conversations
-where lower(role) in ('user', 'assistant', 'system', 'human', 'ai', '') and trim(text) <> '' group by conv_id""")
+@query(f"""select conv_id, string_agg(role || ': ' || trim(text, {_WHITE}), chr(10) || chr(10) order by turn) as text from conversations
+where role in ('user', 'assistant', 'system', 'human', 'ai') and trim(text, {_WHITE}) <> '' group by conv_id""")
 def transcripts(spark, d):
-    turns = B.table(spark, d, "conversations").select("conv_id", "turn", F.lower("role").alias("role"), F.btrim("text").alias("said")).filter(F.col("role").isin(*readers.SPOKEN) & (F.col("said") != ""))
-    return readers.spoken(turns, "conv_id", "turn").join(turns.groupBy("conv_id").agg(F.count("*").alias("turns")), "conv_id")
+    """Conversations as session logs, a JSON object a line, and what the reader makes of them."""
+    line = F.to_json(F.struct(F.struct("role", F.array(F.struct(F.lit("text").alias("type"), "text")).alias("content")).alias("message")))
+    logs = B.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("raw"))
+    return readers.transcripts(logs.select(F.col("conv_id").alias("uri"), "raw")).select(F.col("uri").alias("conv_id"), "text")
 
 
-@query()
+def _cut(sep: str) -> str:
+    return f"flatten(list_transform(p, lambda x: case when length(x) <= 1500 then [x] else list_filter(list_transform(string_split(x, {sep}), lambda y, i: case when i < len(string_split(x, {sep})) then y || {sep} else y end), lambda y: y <> '') end))"
+
+
+@query(f"""with a as (select doc_id, [trim(text, {_WHITE})] as p from documents where text is not null), b as (select doc_id, {_cut("chr(10) || chr(10)")} as p from a), c as (select doc_id, {_cut("chr(10)")} as p from b), d as (select doc_id, {_cut("'. '")} as p from c), e as (select doc_id, {_cut("' '")} as p from d),
+f as (select doc_id, flatten(list_transform(p, lambda x: case when length(x) <= 1500 then [x] else list_transform(generate_series(0, (length(x) - 1) // 1500), lambda k: substr(x, k * 1500 + 1, 1500)) end)) as p from e),
+r as (select doc_id, 0 as i, ''::varchar as now, null::varchar as done from f union all
+  select r.doc_id, r.i + 1, case when r.now <> '' and length(r.now) + length(p[r.i + 1]) > 1500 then (case when instr(right(r.now, 150), ' ') > 0 then substr(right(r.now, 150), instr(right(r.now, 150), ' ') + 1) else right(r.now, 150) end) else r.now end || p[r.i + 1], case when r.now <> '' and length(r.now) + length(p[r.i + 1]) > 1500 then r.now end
+  from r join f on f.doc_id = r.doc_id where r.i < len(p)),
+o as (select doc_id, i, trim(done, {_WHITE}) as t from r where done is not null union all select r.doc_id, i + 1, trim(now, {_WHITE}) from r join f on f.doc_id = r.doc_id where i = len(p))
+select doc_id || '#' || (n - 1) as id, doc_id::varchar as source_id, (n - 1)::int as idx, length(t)::bigint as chars from (select doc_id, t, row_number() over (partition by doc_id order by i) as n from o where t <> '')""")
 def chunks(spark, d):
-    """Chunks of all documents (a stateful fold; held against a plain version in the tests)."""
-    return ingest.chunks(docs(spark, d).select(F.col("doc_id").cast("string").alias("id"), "text")).select("id", "source_id", "idx", F.length("text").alias("chars"))
+    """Chunks of all documents."""
+    found = ingest.chunks(docs(spark, d).select(F.col("doc_id").cast("string").alias("id"), "text"))
+    return found.select("id", "source_id", F.col("idx").cast("int").alias("idx"), F.length("text").cast("long").alias("chars"))
 
 
 @query(f"""select c_custkey, {_KEY.format(x="'  ' || c_name || ' (' || c_mktsegment || ').  '")} as key, 'e-' || left(sha256(c_name || '|in|' || c_mktsegment || '|||||'), 12) as edge from customer""")
