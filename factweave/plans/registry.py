@@ -12,6 +12,7 @@ from factweave.functions import text as T
 from factweave.operators import debate, graph, ingest, retrieval, temporal, view
 from factweave.operators.store import Store
 from factweave.plans import documents as D
+from factweave.plans import router
 from factweave.plans.storage import settle, shared_path
 from factweave.sources import bindings as B
 from factweave.sources import readers, sinks
@@ -510,6 +511,21 @@ def opposed_counts(spark, d):
     return debate.opposed_counts(opposed_edges(spark, d)).select("x", "c", "left", "right")
 
 
+@query(f"""with {_OPPOSED}, n as (select *, row_number() over (partition by u order by event_id) as r from e where description <> '')
+select 'e-' || a.event_id as edge_a, 'e-' || b.event_id as edge_b from n a join n b on a.u = b.u and a.r < b.r and b.r <= 51 order by a.u, a.r, b.r limit 50""")
+def same_concepts(spark, d):
+    """The first 50 pairs of described relations of the same concepts, for want of opposed ones."""
+    return D.same_concepts(opposed_edges(spark, d), 50)
+
+
+@query(f"with {_CLAIM}, s as (select c.*, d.source as src from c join documents d on c.source = 'doc:' || d.doc_id) select id, case when target = 'source src1 is good' then source end as other, 'in' as direction, upper(src) as from_source from s where target = 'source src1 is good'")
+def edge_views(spark, d):
+    """A concept's relations with the other end and the title of the source that they come from."""
+    edges = B.claim_edges(spark, d).withColumn("source_id", F.regexp_extract("target", r"^source (.*) is good$", 1))
+    sources = docs(spark, d).select(F.col("source").alias("id")).distinct().withColumn("title", F.upper("id"))
+    return debate.viewed(edges, "source src1 is good", sources).select("id", "other", "direction", "from_source")
+
+
 # --- sinks --------------------------------------------------------------------------------------------------------------------
 
 
@@ -646,6 +662,43 @@ def stored_counts(spark, d):
     return stored_geography(spark, d).counts()
 
 
+@query(f"with {_GEO} select id, count(*) as n from (select source as id from g union all select target from g) group by id order by n desc, id limit 6")
+def central_concepts(spark, d):
+    """The most connected concepts."""
+    return router.most_connected(B.geo_edges(spark, d).withColumn("valid_to", F.lit(None).cast("string")), 6)
+
+
+@query(f"with {_GEO} select id, count(*) as n from (select source as id from g union all select target from g) where regexp_matches(id, '(?:^|[\\s:-])(?:7|12|region)(?:$|[\\s-])') group by id order by n desc, length(id), id limit 5")
+def partial_matches(spark, d):
+    """The most connected concepts whose labels have one of a question's words."""
+    return router.most_connected(B.geo_edges(spark, d).withColumn("valid_to", F.lit(None).cast("string")), 5, ["7", "12", "region"])
+
+
+@query("""with c as (select 's-' || left(sha256(text), 12) || '#0' as chunk_id, lower(n_name) as a, lower(r_name) as b from documents join nation on doc_id % 25 = n_nationkey join region on n_regionkey = r_regionkey where trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '')
+select node_id, chunk_id, count(*) as count from (select a as node_id, chunk_id from c union all select b, chunk_id from c) group by 1, 2""")
+def stored_mentions(spark, d):
+    """Mentions of a stored graph: each relation that names a chunk counts for both of its concepts."""
+    store = Store(spark, shared_path(spark, "graph"))
+    store.ingest(docs(spark, d).select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("uri"), F.lit("").alias("title"), "text"), "agent", at="2024-01-01")
+    text = docs(spark, d).select((F.col("doc_id") % 25).cast("int").alias("n_nationkey"), F.col("doc_id").alias("seq"), F.concat(F.lit("s-"), F.substring(F.sha2("text", 256), 1, 12), F.lit("#0")).alias("chunk"))
+    place = B.table(spark, d, "nation").join(F.broadcast(B.table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("n_name").alias("source_label"), F.col("r_name").alias("target_label"))
+    none = F.lit(None).cast("string")
+    rows = text.join(F.broadcast(place), "n_nationkey").join(store.chunks().select(F.col("id").alias("chunk")), "chunk", "left_semi").withColumns({"source": keys.node_key(F.col("source_label")), "target": keys.node_key(F.col("target_label")), "relation": F.lit("part_of"), "description": F.lit(""), "confidence": F.lit(None).cast("double"), **dict.fromkeys(("source_type", "target_type", "evidence", "valid_from", "valid_to", "method", "skipped"), none)})
+    store.add(rows.drop("n_nationkey"), at="2024-01-01")
+    return store.mentions()
+
+
+@query(f"""with {_OPPOSED}, m as (select distinct a.u, least(a.event_id, b.event_id) as i, greatest(a.event_id, b.event_id) as j from k a join k b on a.u = b.u and a.c = b.c and a.s = 'l' and b.s = 'r'), f as (select * from m order by u, i, j limit 50)
+select 'c-' || left(sha256('e-' || i || '|e-' || j || '|contradicts'), 12) as id, 'e-' || i as edge_a, 'e-' || j as edge_b, 'second reading' as reason from f""")
+def stored_conflicts(spark, d):
+    """Recorded judgements: the same one again takes the place of the one before."""
+    found = settle(debate.candidates(opposed_edges(spark, d), 50).select("edge_a", "edge_b", F.lit("contradicts").alias("verdict")), "candidates")
+    store = Store(spark, shared_path(spark, "graph"))
+    for reason in ("first reading", "second reading"):
+        store.record_conflicts(found.withColumn("reason", F.lit(reason)))
+    return store.conflicts().select("id", "edge_a", "edge_b", "reason")
+
+
 @query("with x as (select type, count(*) as n from (select 'place' as type from region union all select 'place' from nation union all select 'customer' from customer union all select 'supplier' from supplier) group by type) select type, n from x")
 def node_types(spark, d):
     return geo_nodes(spark, d).groupBy("type").agg(F.count("*").alias("n"))

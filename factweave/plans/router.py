@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factweave.operators.retrieval import NotFound, resolve_one
+from factweave.operators.retrieval import NotFound, open_degrees, resolve_one
 from factweave.operators.store import stamp_of
 
 #: Lenses with what they show, how many concepts each needs, and the view that shows it.
@@ -126,15 +126,18 @@ def named(nodes: DataFrame, text: str) -> list[tuple[int, str, str]]:
     return out
 
 
-def connected(edges: DataFrame, k: int, terms: list[str] | None = None) -> list[str]:
-    """The k concepts with most open relations, or of those whose labels have one of the terms as a word."""
-    degree = edges.filter("valid_to is null").select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+def most_connected(edges: DataFrame, k: int, terms: list[str] | None = None) -> DataFrame:
+    """(id, n): the k concepts with most open relations; with terms, of those whose labels have one of them as a word, shorter labels first among equals."""
+    degree = open_degrees(edges).withColumnRenamed("degree", "n")
     if terms is None:
-        return [r.id for r in degree.orderBy(F.col("n").desc(), "id").limit(k).collect()]
-    if not terms:
-        return []
+        return degree.orderBy(F.col("n").desc(), "id").limit(k)
     word = "|".join(re.escape(t) for t in terms)
-    return [r.id for r in degree.filter(F.col("id").rlike(rf"(?:^|[\s:-])(?:{word})(?:$|[\s-])")).orderBy(F.col("n").desc(), F.length("id"), "id").limit(k).collect()]
+    hit = F.col("id").rlike(rf"(?:^|[\s:-])(?:{word})(?:$|[\s-])") if terms else F.lit(False)
+    return degree.filter(hit).orderBy(F.col("n").desc(), F.length("id"), "id").limit(k)
+
+
+def connected(edges: DataFrame, k: int, terms: list[str] | None = None) -> list[str]:
+    return [r.id for r in most_connected(edges, k, terms).collect()]
 
 
 def read_question(nodes: DataFrame, edges: DataFrame, question: str, concept: str | None, to: str | None, as_of: str | None) -> Reading:
