@@ -191,3 +191,51 @@ def test_marginals_are_exact():
         for i in range(n):
             mass[i, s[i]] += p
     assert np.allclose(m.marginals(tree), mass[:, 1] / mass.sum(axis=1), atol=1e-6)
+
+
+def plain_word(m, word):
+    """A word's scores by language and its number of letters, one character at a time; None for words that no language is known for."""
+    c = [32, *(ord(x) if x.isalpha() else 32 for x in word.lower()), 32]
+    mask, bins, seen = (1 << 64) - 1, [], {}
+    for i in range(1, len(c) - 1):
+        if c[i] != 32:
+            h = (c[i] + c[i - 1] * 0x9E3779B97F4A7C15 + c[i + 1] * 0xC2B2AE3D27D4EB4F) & mask
+            bins.append((((h ^ (h >> 31)) * 0xD6E8FEB86659FD93) & mask) >> 48)
+            script = langid.script_table()[c[i]]
+            seen[script] = seen.get(script, 0) + 1
+    if not bins:
+        return None, 0
+    most = min((s for s in seen if seen[s] == max(seen.values())), default=0)
+    fits = m.scripts[most]
+    if not fits.any():
+        return None, len(bins)
+    total = np.clip(m.trigrams[bins].astype(float).sum(axis=0), -langid.CAP, langid.CAP)
+    return np.where(fits, total, langid.OUT_OF_SCRIPT), len(bins)
+
+
+def test_word_scores_and_languages_against_plain(corpus):
+    _, rows = corpus
+    m = langid.train_model([r[2] for r in rows] + ["ru"], [r[1] for r in rows] + ["это не так просто как мы думали " * 30])
+    texts = [r[1] for r in rows[:12]] + [f"{rows[0][1][:120]} {rows[1][1][:120]} это не так", "漢字 only here", "12 -- ...", "x9 ü-z", ""]
+    names, score, _ = langid.identify_batch(pa.array(texts), m)
+    for t, name, s in zip(texts, names, score, strict=True):
+        found = [plain_word(m, w) for w in t.split()]
+        each = [np.zeros(len(m.languages)) if v is None else v for v, _ in found]
+        if not sum(n for _, n in found):
+            assert (name, s) == ("und", 0)
+            continue
+        # the best path by trying each state for each word, with what each switch costs
+        best, back = each[0], []
+        for v in each[1:]:
+            step = best[:, None] - langid.SWITCH * (1 - np.eye(len(best)))
+            back.append(step.argmax(axis=0))
+            best = step.max(axis=0) + v
+        path = [int(best.argmax())]
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        letters = np.zeros(len(m.languages))
+        for k, (v, n) in zip(reversed(path), found, strict=True):
+            letters[k] += n * (v is not None)
+        total = sum(n for _, n in found)
+        # where two paths are equal but for rounding, a word at a border may go either way
+        assert name == m.languages[letters.argmax()] and abs(s - letters.max() / total) < 0.02
