@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import corpus_pipeline
 import duckdb
@@ -6,6 +7,7 @@ import pytest
 
 from factweave.llm import decontam, mixing, sharding
 from factweave.llm.queries import ORACLE_SQL
+from factweave.plans import storage
 
 
 def distance(p, t):
@@ -105,4 +107,8 @@ def test_pipeline(spark, corpus, tmp_path):
     assert ids[1] == [i for i, (_, c) in brute(rows, 5).items() if i == c]
     assert 7 not in ids[2] and set(ids[1]) - set(ids[2]) <= {7}
     assert ids[4] == ids[3] and set(ids[3]) <= set(ids[2])
+    # a run leaves the token stage's input and its segments behind, and nothing of the stages before
+    left = Path(storage.shared_dir(spark).removeprefix("file://")) / "factweave"
+    there = set(left.iterdir())
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(ids[4])
+    assert sorted(p.name.rsplit("-", 1)[0] for p in set(left.iterdir()) - there) == ["source-mixing", "tokens"]
