@@ -27,6 +27,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,6 +124,16 @@ class Segment:
 
 #: A word of Latin-1 letters, with signs after it: the tokenizer splits these apart, so both parts are kept once.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*)]*)")
+SPLIT = rf"^{PLAIN.pattern.replace('([A', '(?P<letters>[A').replace('([.', '(?P<signs>[.')}$"
+
+
+def taken(starts: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the items of stretches (starts, lengths), those of the stretch of each code in a row, and where each one's items end."""
+    n = lengths[codes]
+    ends = np.cumsum(n)
+    at = np.repeat(starts[codes] - (ends - n), n)
+    at += np.arange(len(at))
+    return at, ends
 
 
 class Encoder:
@@ -168,20 +179,38 @@ class Encoder:
         words = "Mixed CASE words, and (signs) -- don't 12,345.67 a_b x/y é É ÄÖÜß ñ œ 東京 привет #tag @me $5 100% e.g. U.S.A. \u2014 \u2019s".split()
         for gap in (" ", "  ", "\t", "\n", "\r\n \n", "\x0b", "\x0c"):
             text = gap + gap.join(words) + gap
-            if self.raw([text]) != [b"".join(self.words(words))]:
+            if self.raw([text]) != [self.words(pa.array(words))[0].tobytes()]:
                 return False
         return True
 
-    def words(self, found: list[str]) -> list[bytes]:
-        parts, match = self.parts, PLAIN.fullmatch
-        if len(parts) > self.keep:
-            parts.clear()
-        split = [(m[1].lower(), m[2]) if (m := match(w)) else (w, None) for w in found]
-        letters = list({a for a, b in split if b is not None and a not in parts})
-        other = list({x for a, b in split for x in ((a,) if b is None else (b,) if b else ()) if x not in parts})
-        parts.update(zip(letters, (self.by_model if self.direct else self.raw)(letters), strict=True))
-        parts.update(zip(other, self.raw(other), strict=True))
-        return [parts[a] + parts[b] if b else parts[a] for a, b in split]
+    def known(self, found: list[str], letters: bool) -> list[bytes]:
+        """Ids of parts of words, each of letters or each of anything, asked for once."""
+        parts = self.parts
+        new = [x for x in found if x not in parts]
+        parts.update(zip(new, (self.by_model if letters and self.direct else self.raw)(new), strict=True))
+        return [parts[x] for x in found]
+
+    def words(self, unique: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each word has. Kernels split the words into letters and signs, so that Python sees each part once."""
+        if len(self.parts) > self.keep:
+            self.parts.clear()
+        split = pc.extract_regex(unique, SPLIT)
+        plain = split.is_valid()
+        letters = pc.utf8_lower(pc.struct_field(split, "letters")).filter(plain).dictionary_encode()
+        signs = pc.struct_field(split, "signs").filter(plain).dictionary_encode()
+        other = unique.filter(pc.invert(plain))
+        each = [*self.known(letters.dictionary.to_pylist(), True), *self.known([x for x in signs.dictionary.to_pylist() if x], False), b"", *self.known(other.to_pylist(), False)]
+        lengths = np.fromiter(map(len, each), np.int64, len(each)) // self.dtype.itemsize
+        n, filled = len(letters.dictionary), [x != "" for x in signs.dictionary.to_pylist()]
+        nothing = n + sum(filled)
+        sign = np.where(filled, n + np.cumsum(filled) - 1, nothing)
+        pieces = np.full((len(unique), 2), nothing, np.int64)
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        pieces[is_plain, 0] = letters.indices.to_numpy()
+        pieces[is_plain, 1] = sign[signs.indices.to_numpy()] if len(signs) else nothing
+        pieces[~is_plain, 0] = nothing + 1 + np.arange(len(other))
+        at, _ = taken(np.cumsum(lengths) - lengths, lengths, pieces.ravel())
+        return np.frombuffer(b"".join(each), self.dtype)[at], lengths[pieces].sum(axis=1)
 
     def texts(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids with the end ids, and each text's count."""
@@ -191,16 +220,12 @@ class Encoder:
             return np.frombuffer(b"".join(each), self.dtype), np.fromiter(map(len, each), np.int64, len(each)) // self.dtype.itemsize
         flat, offsets = words(texts)
         codes, unique = coded(flat)
-        each = [*self.words(unique.to_pylist()), np.array([end_id], self.dtype).tobytes()]
-        known = np.frombuffer(b"".join(each), self.dtype)
-        lengths = np.fromiter(map(len, each), np.int64, len(each)) // self.dtype.itemsize
-        codes = np.insert(codes.astype(np.int64), offsets[1:], len(each) - 1)
-        n = lengths[codes]
-        ends = np.cumsum(n)
-        at = np.repeat((np.cumsum(lengths) - lengths)[codes] - (ends - n), n)
-        at += np.arange(len(at))
+        ids, lengths = self.words(unique)
+        ids, lengths = np.append(ids, np.array([end_id], self.dtype)), np.append(lengths, 1)
+        codes = np.insert(codes.astype(np.int64), offsets[1:], len(lengths) - 1)
+        at, ends = taken(np.cumsum(lengths) - lengths, lengths, codes)
         stops = ends[offsets[1:] + np.arange(len(offsets) - 1)]
-        return known[at], np.diff(stops, prepend=0)
+        return ids[at], np.diff(stops, prepend=0)
 
 
 _encoders: dict[str, Encoder] = {}
