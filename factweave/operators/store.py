@@ -109,7 +109,7 @@ class Store:
                 raise StoreError("graph_not_found", f"There is no graph at {self.path}")
             meta = spark.createDataFrame([(0, "format", FORMAT), (1, "schema_version", VERSION), (2, "created_at", now())], TABLES["meta"])
             spark.createDataFrame([], COMMITS).write.parquet(f"{self.path}/commits/batch=none")
-            self._write({t: meta if t == "meta" else spark.createDataFrame([], s) for t, s in TABLES.items()})
+            self._write({"meta": meta})
 
     # --- facts ---
 
@@ -117,7 +117,10 @@ class Store:
         return self.spark.read.schema(COMMITS).option("recursiveFileLookup", True).parquet(f"{self.path}/commits")
 
     def rows(self, table: str) -> DataFrame:
-        """All facts of a table that count."""
+        """All facts of a table that count; a table's folder is there from its first fact on."""
+        fs, at = _files(self.spark, f"{self.path}/{table}")
+        if not fs.exists(at):
+            return self.spark.createDataFrame([], TABLES[table])
         every = self.spark.read.schema(TABLES[table] + ", batch string").parquet(f"{self.path}/{table}")
         return every.join(F.broadcast(self._commits().select("batch")), "batch", "left_semi").drop("batch")
 
@@ -137,9 +140,9 @@ class Store:
             out.write.parquet(f"{self.path}/{name}/batch={batch}")
         count = 0
         if events is not None:
-            log = settle(numbered(events, ["o"], told + 1).select("seq", F.lit(now()).alias("at"), "kind", "data"), "events")
-            log.write.parquet(f"{self.path}/events/batch={batch}")
-            count = log.count()
+            at = f"{self.path}/events/batch={batch}"
+            numbered(events, ["o"], told + 1).select("seq", F.lit(now()).alias("at"), "kind", "data").write.parquet(at)
+            count = self.spark.read.parquet(at).count()
         self.spark.createDataFrame([(n + 1, batch, count, now())], COMMITS).coalesce(1).write.parquet(f"{self.path}/commits/batch={batch}")
         return count
 
@@ -451,5 +454,5 @@ class Store:
         tables = {"nodes": node_facts, "edges": facts, "mentions": mentions}
         if read is not None:
             tables["extracted"] = numbered(read.select("id").withColumn("at", F.lit(stamp)), ["id"])
-        self._write(tables, settle(told, "told"))
+        self._write(tables, told)
         return facts.first().id if give else None
