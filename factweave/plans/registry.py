@@ -579,7 +579,7 @@ def file_names(spark, d):
 @query(rf"""with {_GEO}, {_ALL_NODES}, nm as (select id, trim(regexp_replace(label, '[\\/:*?"<>|#^\[\]]', ' ', 'g')) as name from an),
 e as (select source as id, 0 as n, source || '|' || relation || '|' || target as e, '- → *' || replace(relation, '_', ' ') || '* [[' || name || ']]' as line from g join nm on nm.id = target
   union all select target, 1, source || '|' || relation || '|' || target, '- ← *' || replace(relation, '_', ' ') || '* [[' || name || ']]' from g join nm on nm.id = source), l as (select id, string_agg(line, chr(10) order by n, line) as lines from e group by id)
-select 'Concepts/' || name || '.md' as path, '---' || chr(10) || 'type: ' || type || chr(10) || 'degree: 0' || chr(10) || 'betweenness: 0' || chr(10) || 'tags: [knowledge/' || type || ']' || chr(10) || '---' || chr(10) || chr(10) || '# ' || label || chr(10) || chr(10) || coalesce('## Relations' || chr(10) || chr(10) || lines || chr(10) || chr(10), '') as body from an join nm using (id) left join l using (id)""")
+select 'Concepts/' || name || '.md' as path, '---' || chr(10) || 'type: ' || type || chr(10) || 'degree: 0' || chr(10) || 'betweenness: 0' || chr(10) || 'tags: [factweave/' || type || ']' || chr(10) || '---' || chr(10) || chr(10) || '# ' || label || chr(10) || chr(10) || coalesce('## Relations' || chr(10) || chr(10) || lines || chr(10) || chr(10), '') as body from an join nm using (id) left join l using (id)""")
 def vault(spark, d):
     edges = B.geo_edges(spark, d)
     return sinks.vault(geo_nodes(spark, d), edges)

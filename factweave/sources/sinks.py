@@ -150,7 +150,7 @@ def vault(nodes: DataFrame, edges: DataFrame, topics: DataFrame | None = None, q
         rows = rows.join(said, "id", "left")
     rows = have(rows, ("quotes",))
     plain = lambda c, zero: F.coalesce(F.col(c).cast("string"), F.lit(zero))
-    front = F.concat(F.lit("---\ntype: "), "type", F.lit("\ndegree: "), plain("degree", "0"), F.lit("\nbetweenness: "), plain("betweenness", "0"), F.when(F.col("topic").isNotNull(), F.concat(F.lit('\ntopic: "[['), "topic", F.lit(']]"'))).otherwise(""), F.lit("\ntags: [knowledge/"), "type", F.lit("]\n---\n\n# "), "label", F.lit("\n\n"))
+    front = F.concat(F.lit("---\ntype: "), "type", F.lit("\ndegree: "), plain("degree", "0"), F.lit("\nbetweenness: "), plain("betweenness", "0"), F.when(F.col("topic").isNotNull(), F.concat(F.lit('\ntopic: "[['), "topic", F.lit(']]"'))).otherwise(""), F.lit("\ntags: [factweave/"), "type", F.lit("]\n---\n\n# "), "label", F.lit("\n\n"))
     body = F.concat(front, F.when(F.coalesce("summary", F.lit("")) != "", F.concat("summary", F.lit("\n\n"))).otherwise(""), block("Relations", F.col("lines")), block("Evidence", F.col("quotes")))
     out = rows.select(F.concat(F.lit("Concepts/"), "name", F.lit(".md")).alias("path"), body.alias("body"))
     inside = n.join(names, "id").groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.coalesce(F.col("strength").cast("double"), F.lit(0.0))).alias("s"), "id", F.concat(F.lit("- [["), "name", F.lit("]]")).alias("l")))), lambda x: x["l"]), "\n").alias("members"))
