@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.functions.keys import truthy
+from factweave.plans.storage import spread
 
 #: How much a stated relation weighs, and the largest number of concepts of a passage that counts as nearness.
 STATED, CROWD = 4.0, 40
@@ -14,16 +15,18 @@ STATED, CROWD = 4.0, 40
 def relation_pairs(edges: DataFrame) -> DataFrame:
     """Edges' weights by pair: the window score of co-occurrence, else four times the confidence (1 where it is missing or zero)."""
     scale = F.when(F.col("method") == "cooccurrence", F.col("weight")).otherwise(STATED * truthy(F.col("confidence"), 1.0))
-    return edges.filter("source <> target").groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.sum(scale).alias("weight"))
+    pairs = edges.filter("source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), scale.alias("weight"))
+    return spread(pairs, "a", "b").groupBy("a", "b").agg(F.sum("weight").alias("weight"))
 
 
 def proximity(mentions: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(a, b, shared) of concepts mentioned in the same chunk, for chunks with 2 to `crowd` concepts. The limit bounds each chunk's pairs, so they are
     made inside its own array."""
-    members = mentions.groupBy("chunk_id").agg(F.countDistinct("node_id").alias("n")).filter(f"n between 2 and {crowd}")
-    groups = mentions.join(members, "chunk_id", "left_semi").groupBy("chunk_id").agg(F.array_sort(F.collect_set("node_id")).alias("m"))
+    each = spread(mentions.select("chunk_id", "node_id"), "chunk_id").distinct()
+    sized = each.filter("chunk_id is not null and node_id is not null").withColumn("n", F.count("*").over(Window.partitionBy("chunk_id"))).filter(f"n between 2 and {crowd}")
+    groups = sized.groupBy("chunk_id").agg(F.array_sort(F.collect_list("node_id")).alias("m"))
     pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice(F.col("m"), i + 2, F.lit(crowd)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    return groups.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("shared"))
+    return spread(groups.select(F.explode(pairs).alias("p")).select("p.a", "p.b"), "a", "b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 def chosen(edges: DataFrame, nodes: DataFrame | None = None, relations: list[str] | None = None, types: list[str] | None = None) -> DataFrame:
@@ -40,11 +43,12 @@ def chosen(edges: DataFrame, nodes: DataFrame | None = None, relations: list[str
 def build_view(edges: DataFrame, mentions: DataFrame | None = None, nodes: DataFrame | None = None, relations: list[str] | None = None, types: list[str] | None = None) -> DataFrame:
     """(a, b, weight) of edges, and of nearness where mentions(chunk_id, node_id) are given; choosing relations leaves nearness out."""
     pairs = relation_pairs(chosen(edges, nodes, relations, types))
-    if mentions is not None and not relations:
-        if nodes is not None:
-            kept = nodes if not types else nodes.filter(F.col("type").isin(*types))
-            mentions = mentions.join(kept.select(F.col("id").alias("node_id")), "node_id", "left_semi")
-        pairs = pairs.unionByName(proximity(mentions).select("a", "b", F.col("shared").cast("double").alias("weight")))
+    if mentions is None or relations:
+        return pairs
+    if nodes is not None:
+        kept = nodes if not types else nodes.filter(F.col("type").isin(*types))
+        mentions = mentions.join(kept.select(F.col("id").alias("node_id")), "node_id", "left_semi")
+    pairs = pairs.unionByName(proximity(mentions).select("a", "b", F.col("shared").cast("double").alias("weight")))
     return pairs.groupBy("a", "b").agg(F.sum("weight").alias("weight"))
 
 

@@ -67,6 +67,16 @@ def input_bytes(df: DataFrame) -> int:
     return sum(n for n in sizes if n < 1 << 50)
 
 
+#: Bytes of stored input that one task of a spread shuffle stands for.
+TASK_BYTES = 4 << 20
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by these columns over as many tasks as its input asks for, and never fewer than the session's, so that what a task holds does not grow with the tables."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(20_000, -(-input_bytes(df) // TASK_BYTES))), *keys)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once for each application."""
     app = spark.sparkContext.applicationId
